@@ -55,8 +55,5 @@ def run_harvest(spark: SparkSession, old_csv: str | list[str], drops: str | list
     good, bad = quarantine_missing(read_ndjson(spark, drops, RAW_SCHEMA), "id", CORRUPT)
     bad.write.mode("error").json(f"{out}/quarantine")
     old = read_catalog_csv(spark, old_csv, CATALOG_SCHEMA)
-    merged = union_by_name(
-        anti_join_pending(old, good, "id"),
-        dedup_by_id(flatten_records(good), "id", content_order(good.select(*CATALOG_SCHEMA.names))),
-    )
+    merged = merge_daily(old, flatten_records(good), "id", "vote_count")
     return write_csv_quoteall_sorted(merged, f"{out}/catalog", "vote_count", "id")
