@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.bindings.registry import Tables, day, query, rounded
+from shelfmark.bindings.texts import SQL_SEPARATORS
 from shelfmark.functions import text as X
 from shelfmark.operators.aggregate import rating_distribution
-from shelfmark.session import scratch_path
+from shelfmark.operators.project import exploded
+from shelfmark.session import scratch_path, spread
 from shelfmark.sinks import writers as W
 from shelfmark.sources import readers as S
 
@@ -63,11 +65,11 @@ def read_features_parquet(t: Tables) -> DataFrame:
 
 @query("read_stopwords", f"""
 SELECT DISTINCT lang, word FROM (
-  SELECT lang, unnest(regexp_split_to_array(lower(text), '{X.SEPARATORS}')) AS word FROM documents)
+  SELECT lang, unnest(regexp_split_to_array(lower(text), '{SQL_SEPARATORS}')) AS word FROM documents)
 WHERE word <> ''""")
 def read_stopwords(t: Tables) -> DataFrame:
     # One list per language: all its words.
-    words = t.documents.select("lang", F.explode(X.split_tokens(F.col("text"))).alias("word"))
+    words = exploded(spread(t.documents), ["lang"], X.split_tokens(F.col("text")), "word")
     path = scratch_path(t.spark, "word_lists")
     words.distinct().write.partitionBy("lang").text(path)
     return S.read_stopwords(t.spark, path)

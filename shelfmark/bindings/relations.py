@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.bindings.registry import Tables, query, rounded, sql_list
-from shelfmark.bindings.texts import KEPT_WORDS, WORDS, document_words
+from shelfmark.bindings.texts import KEPT_WORDS, SQL_SEPARATORS, WORDS, analysed, document_words
 from shelfmark.functions import text as X
 from shelfmark.functions.wordlists import ENGLISH_STOPWORDS
 from shelfmark.operators import relate as J
 from shelfmark.operators.aggregate import word_counts
 from shelfmark.operators.dedup import dedup_by_id, dedup_keep_first
-from shelfmark.operators.text import analysed_words
+from shelfmark.operators.project import exploded
 from shelfmark.plans.harvest import merge_daily
 
 
@@ -42,11 +42,11 @@ def left_join_metadata(t: Tables) -> DataFrame:
 
 @query("semi_join_vocab", f"""
 WITH {KEPT_WORDS},
-vocab AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '{X.SEPARATORS}')) AS word FROM benchmark)
+vocab AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '{SQL_SEPARATORS}')) AS word FROM benchmark)
 SELECT word, count(*) AS count FROM kept WHERE word IN (SELECT word FROM vocab) GROUP BY word""")
 def semi_join_vocab(t: Tables) -> DataFrame:
-    counts = word_counts(analysed_words(t.documents, "text", "words"), "words")
-    vocab = t.benchmark.select(F.explode(X.split_tokens(F.col("text"))).alias("word"))
+    counts = word_counts(analysed(t), "words")
+    vocab = exploded(t.benchmark, [], X.split_tokens(F.col("text")), "word")
     return J.semi_join_vocab(counts, vocab)
 
 

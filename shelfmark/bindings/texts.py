@@ -15,6 +15,7 @@ from shelfmark.functions.wordlists import ENGLISH_STOPWORDS, default_stopwords
 from shelfmark.operators import text as O
 from shelfmark.operators.aggregate import word_counts
 from shelfmark.schema import VOCABULARY_SIZE
+from shelfmark.session import spread
 
 
 def _spark_stopwords() -> list[str]:
@@ -25,6 +26,11 @@ def _spark_stopwords() -> list[str]:
     return default_stopwords()
 
 
+# The separators of a token, written out for a regex engine whose ``\\s`` is ASCII only.
+_SPACES = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SQL_SEPARATORS = f"[,{_SPACES}]+"
 _CLEANED = r"""trim(regexp_replace(regexp_replace(lower(text), '[^a-zA-Z\x09-\x0d ]', '', 'g'), '[\x09-\x0d ]+', ' ', 'g'))"""
 _STOP = sql_list(ENGLISH_STOPWORDS)
 WORDS = f"""
@@ -45,44 +51,48 @@ weighted AS (
 
 _LISTED = f"t NOT IN ({_STOP})"
 PROCESSED = " ".join([
-    f"array_to_string(list_filter(regexp_split_to_array(lower(text), '{X.SEPARATORS}'),",
+    f"array_to_string(list_filter(regexp_split_to_array(lower(text), '{SQL_SEPARATORS}'),",
     f"lambda t: length(t) >= {X.MIN_TOKEN_LENGTH}",
     *(f"AND NOT regexp_matches(t, '{pattern}')" for pattern in X.TOKEN_RULES.values()),
     f"AND {_LISTED}), ' ')",
 ])
 
 
+def document_texts(t: Tables) -> DataFrame:
+    return spread(t.documents.select("doc_id", "text"))
+
+
 def document_words(t: Tables) -> DataFrame:
     """Documents with their cleaned words."""
-    cleaned = O.clean_alpha(t.documents.select("doc_id", "text"), "text", "cleaned_text")
+    cleaned = O.clean_alpha(document_texts(t), "text", "cleaned_text")
     return O.tokenize(cleaned, "cleaned_text", "words").select("doc_id", "words")
 
 
 def analysed(t: Tables) -> DataFrame:
     """Non-blank documents with their words less the default stopwords."""
-    return O.analysed_words(t.documents.select("doc_id", "text"), "text", "words").select("doc_id", "words")
+    return O.analysed_words(document_texts(t), "text", "words").select("doc_id", "words")
 
 
 @query("token_filter", f"SELECT doc_id, {PROCESSED} AS processed_text FROM documents")
 def token_filter(t: Tables) -> DataFrame:
-    filtered = O.token_filter(t.documents, "text", "processed_text", ENGLISH_STOPWORDS)
+    filtered = O.token_filter(document_texts(t), "text", "processed_text", ENGLISH_STOPWORDS)
     return filtered.select("doc_id", "processed_text")
 
 
 @query("token_rule_audit", f"""
-WITH tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '{X.SEPARATORS}')) AS t FROM documents)
+WITH tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '{SQL_SEPARATORS}')) AS t FROM documents)
 SELECT CASE WHEN length(t) < {X.MIN_TOKEN_LENGTH} THEN 'short_or_digit'
        {" ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in X.TOKEN_RULES.items())}
        WHEN t IN ({_STOP}) THEN '{X.STOPWORD_RULE}' ELSE '{X.KEEP}' END AS rule,
        count(*) AS tokens
 FROM tokens GROUP BY 1""")
 def token_rule_audit(t: Tables) -> DataFrame:
-    return O.token_rule_audit(t.documents, "text", ENGLISH_STOPWORDS)
+    return O.token_rule_audit(document_texts(t), "text", ENGLISH_STOPWORDS)
 
 
 @query("clean_alpha", f"SELECT doc_id, {_CLEANED} AS cleaned_text FROM documents")
 def clean_alpha(t: Tables) -> DataFrame:
-    return O.clean_alpha(t.documents, "text", "cleaned_text").select("doc_id", "cleaned_text")
+    return O.clean_alpha(document_texts(t), "text", "cleaned_text").select("doc_id", "cleaned_text")
 
 
 @query("tokenize", f"WITH {WORDS} SELECT word, count(*) AS count FROM words GROUP BY word")
@@ -90,11 +100,12 @@ def tokenize(t: Tables) -> DataFrame:
     return word_counts(document_words(t), "words")
 
 
-@query("remove_stopwords", f"WITH {KEPT_WORDS} SELECT doc_id, count(*) AS words FROM kept GROUP BY doc_id")
+@query("remove_stopwords", f"""
+WITH {KEPT_WORDS}
+SELECT doc_id, count(word) AS words FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id""")
 def remove_stopwords(t: Tables) -> DataFrame:
     kept = O.remove_stopwords(document_words(t), "words", "kept")
-    sized = kept.select("doc_id", F.size("kept").cast("bigint").alias("words"))
-    return sized.filter(F.col("words") > 0)
+    return kept.select("doc_id", F.size("kept").cast("bigint").alias("words"))
 
 
 @query("word_counts", f"WITH {KEPT_WORDS} SELECT word, count(*) AS count FROM kept GROUP BY word")
@@ -122,7 +133,7 @@ def tfidf(t: Tables) -> DataFrame:
 
 @query("frequent_words", f"WITH {_TERMS} SELECT word, count FROM vocab")
 def frequent_words(t: Tables) -> DataFrame:
-    return O.frequent_words(t.documents, "text")
+    return O.frequent_words(document_texts(t), "text")
 
 
 @query("top_tfidf_terms", f"""

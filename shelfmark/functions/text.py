@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space and control separators, spelt out because the classes ``\s`` of
-# the common regex engines differ.
-_SPACES = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-SEPARATORS = rf"[,{_SPACES}]+"
+# Tokens end at commas, Unicode white space and the four control separators. The flag makes ``\s``
+# Unicode; spelling the characters out as ranges takes twice the time.
+SEPARATORS = r"(?U)[,\s\x1c\x1d\x1e\x1f]+"
 
 # Characters that are digits without being decimal (superscripts, circled digits ..).
 _DIGIT_SIGNS = (
@@ -30,16 +27,19 @@ TOKEN_RULES = {
     "unit": r"^\p{Nd}+[a-zA-Z]+$",
     "clock": r"^\p{Nd}{1,2}(am|pm)$",
     "number": r"^\p{Nd}+$",
-    "special": rf"^[a-zA-Z0-9]*[^\p{{L}}\p{{N}}_{_SPACES}][a-zA-Z0-9]*$",
+    "special": r"^[a-zA-Z0-9]*[^\p{L}\p{N}_\s][a-zA-Z0-9]*$",
 }
 MIN_TOKEN_LENGTH = 3
 STOPWORD_RULE = "stopword"
 KEEP = "keep"
 
-# All rules in one pattern: the filter only asks whether any of them matches. Rules that "alnum"
-# covers are left out.
-_REJECTED = "|".join(TOKEN_RULES[r].strip("^$") for r in ("short_or_digit", "alnum", "special"))
-REJECTED = f"^(?:{_REJECTED})$"
+# All rules in one pattern, for the filter, which only asks whether any of them matches. Rules that
+# "alnum" covers are left out; possessive quantifiers keep a plain word from being tried again at
+# each of its letters.
+REJECTED = (
+    r"^(?:[a-zA-Z]*+\p{Nd}++[a-zA-Z]*+|[a-zA-Z0-9]*+[^\p{L}\p{N}_\s][a-zA-Z0-9]*+"
+    rf"|[\p{{Nd}}{_DIGIT_SIGNS}]++)$"
+)
 
 
 def split_tokens(col: Column) -> Column:
@@ -71,8 +71,19 @@ def filtered_text(col: Column, stopwords: Sequence[str]) -> Column:
 
 def clean_alpha(col: Column) -> Column:
     """Lower case, ASCII letters and single blanks only, no outer blanks."""
-    letters = F.regexp_replace(F.lower(col), r"[^a-zA-Z\s]", "")
-    return F.trim(F.regexp_replace(letters, r"\s+", " "))
+    letters = F.regexp_replace(F.lower(col), r"[^a-z\s]+", "")
+    # Only what is not a single blank already.
+    return F.trim(F.regexp_replace(letters, r"\s{2,}|[\t\n\x0B\f\r]", " "))
+
+
+def has_word(col: Column) -> Column:
+    """Whether ``clean_alpha`` leaves anything, without cleaning."""
+    return F.lower(col).rlike("[a-z]")
+
+
+def clean_words(col: Column) -> Column:
+    """The words of ``clean_alpha``; one empty word for a text without any."""
+    return F.split(clean_alpha(col), " ")
 
 
 def words(col: Column) -> Column:

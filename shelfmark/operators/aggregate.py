@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import floor_bucket
 from shelfmark.operators.filters import filter_min
+from shelfmark.operators.project import exploded
 
 # Bands of the correlation report, as (name, lowest, upper bound). Positive and
 # negative bands both contain their lower and not their upper bound, except that 1 is strong.
@@ -72,49 +73,42 @@ def nonconstant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("stddev") > 0)
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], nulls: str = "pairwise") -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix of the non-constant columns as rows ``(a, b, r)``, in one pass.
 
-    The screening for constant columns happens in the same aggregation, so no column list passes
-    through the driver. ``nulls="pairwise"`` uses for each pair the rows that have both values;
-    ``nulls="error"`` refuses data with a missing value in a non-constant column.
+    Each row is turned into one short row per pair of columns (not of rows), and one aggregation
+    over them serves any number of columns; pairs are reduced in place, so the shuffle carries one
+    row per pair and task. A pair uses the rows that have both values. A constant column has no
+    spread and drops out here, so no column list passes through the driver.
     """
-    if nulls not in ("pairwise", "error"):
-        raise ValueError("nulls must be 'pairwise' or 'error'")
-    x = {i: F.col(c).cast("double") for i, c in enumerate(columns)}
-    pairs = list(combinations(x, 2))
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i in x:
-        aggs += [F.stddev_samp(x[i]).alias(f"_s{i}"), F.count(x[i]).alias(f"_n{i}")]
-    for i, j in pairs:
-        aggs.append(F.covar_samp(x[i], x[j]).alias(f"_c{i}_{j}"))
-        if nulls == "pairwise":
-            aggs += [
-                F.stddev_samp(F.when(x[j].isNotNull(), x[i])).alias(f"_s{i}_{j}"),
-                F.stddev_samp(F.when(x[i].isNotNull(), x[j])).alias(f"_s{j}_{i}"),
-            ]
-
-    def entry(i: int, j: int) -> Column:
-        if i == j:
-            r = F.lit(1.0)
-        else:
-            cov = F.col(f"_c{min(i, j)}_{max(i, j)}")
-            spread = (
-                F.col(f"_s{i}_{j}") * F.col(f"_s{j}_{i}")
-                if nulls == "pairwise"
-                else F.col(f"_s{i}") * F.col(f"_s{j}")
-            )
-            r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, spread)))
-        usable = (F.col(f"_s{i}") > 0) & (F.col(f"_s{j}") > 0)
-        if nulls == "error":
-            gap = F.least(f"_n{i}", f"_n{j}") < F.col("_rows")
-            r = F.when(gap, F.raise_error("missing value in a correlated column").cast("double")).otherwise(r)
+    values = F.array(*(F.col(c).cast("double") for c in columns))
+    pairs = F.array(*(
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+        for i, j in combinations_with_replacement(range(len(columns)), 2)
+    ))
+    short = df.select(values.alias("_v")).select("_v", F.inline(pairs))
+    both = short.select(
+        "i", "j", F.get("_v", "i").alias("x"), F.get("_v", "j").alias("y")
+    ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    spread = both.groupBy("i", "j").agg(
+        F.covar_samp("x", "y").alias("_xy"),
+        F.stddev_samp("x").alias("_x"),
+        F.stddev_samp("y").alias("_y"),
+    )
+    exact = F.try_divide(F.col("_xy"), F.col("_x") * F.col("_y"))
+    r = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), exact)))
+    half = spread.filter((F.col("_x") > 0) & (F.col("_y") > 0)).select("i", "j", r.alias("r"))
+    names = F.array(*map(F.lit, columns))
+
+    def entry(a: str, b: str) -> Column:
         return F.struct(
-            F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.when(usable, r).alias("r")
+            F.get(names, F.col(a)).alias("a"), F.get(names, F.col(b)).alias("b"), F.col("r").alias("r")
         )
 
-    rows = _as_rows(df.agg(*aggs), [entry(i, j) for i in x for j in x])
-    return rows.filter(F.col("r").isNotNull())
+    mirrored = F.when(F.col("i") == F.col("j"), F.array(entry("i", "j"))).otherwise(
+        F.array(entry("i", "j"), entry("j", "i"))
+    )
+    return half.select(F.inline(mirrored))
 
 
 def correlation_bands(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -132,7 +126,7 @@ def correlation_bands(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def word_counts(df: DataFrame, words: str, word: str = "word", count: str = "count") -> DataFrame:
     """How often each word of an array column occurs, most frequent first."""
-    return count_by(df.select(F.explode(words).alias(word)), [word], count)
+    return count_by(exploded(df, [], F.col(words), word), [word], count)
 
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
@@ -150,8 +144,8 @@ def tag_counts_per_cluster(
     df: DataFrame, cluster: str, tags: str, tag: str = "tag", sep: str = ","
 ) -> DataFrame:
     """Rows per (cluster, tag) of a separated text column; blank tags drop out."""
-    exploded = df.select(cluster, F.explode(F.split(F.col(tags), sep)).alias(tag))
-    trimmed = exploded.withColumn(tag, F.trim(tag)).filter(F.col(tag) != "")
+    rows = exploded(df, [cluster], F.split(F.col(tags), sep), tag)
+    trimmed = rows.withColumn(tag, F.trim(tag)).filter(F.col(tag) != "")
     return trimmed.groupBy(cluster, tag).agg(F.count(F.lit(1)).alias("count"))
 
 

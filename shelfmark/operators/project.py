@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,3 +108,12 @@ def json_names_to_string(
 ) -> DataFrame:
     """JSON text holding an array of named objects to one text of joined names."""
     return df.withColumn(column, C.names_from_json(F.col(column), schema, array, field, sep))
+
+
+def exploded(df: DataFrame, keep: Sequence[str], array: Column, out: str) -> DataFrame:
+    """One row per element of ``array`` that is there, with the columns ``keep``.
+
+    An inner ``explode`` would make the optimizer put a filter on the array's size below it, and so
+    compute a costly array twice; the outer form with a filter above does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(out)).filter(F.col(out).isNotNull())

@@ -100,7 +100,7 @@ def top_items_per_dim_per_cluster(
     values = df.join(best, cluster).select(
         key,
         cluster,
-        F.inline(F.transform(
+        F.inline_outer(F.transform(
             "best",
             lambda b: F.struct(
                 b["dim_rank"].alias("dim_rank"),

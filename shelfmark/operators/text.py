@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.functions.wordlists import default_stopwords
-from shelfmark.operators.aggregate import word_counts
-from shelfmark.operators.filters import filter_nonblank
+from shelfmark.operators.aggregate import count_by, word_counts
+from shelfmark.operators.project import exploded
 from shelfmark.operators.relate import broadcast_if_bounded
 from shelfmark.schema import VOCABULARY_SIZE
 
@@ -26,7 +26,7 @@ def token_rule_audit(df: DataFrame, text: str, stopwords: Sequence[str]) -> Data
 
     Tokens are counted before the rules run, so each distinct token is judged once.
     """
-    tokens = df.select(F.explode(X.split_tokens(F.col(text))).alias("token"))
+    tokens = exploded(df, [], X.split_tokens(F.col(text)), "token")
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
     judged = counted.select(X.token_rule(F.col("token"), stopwords).alias("rule"), "_n")
     return judged.groupBy("rule").agg(F.sum("_n").alias("tokens"))
@@ -53,10 +53,15 @@ def remove_stopwords(
 def analysed_words(
     df: DataFrame, text: str, out: str, stopwords: Sequence[str] | None = None
 ) -> DataFrame:
-    """Clean, drop blank texts, tokenise and drop stopwords: the word array the analyses start from."""
-    cleaned = filter_nonblank(clean_alpha(df, text, "_cleaned"), "_cleaned")
-    split = tokenize(cleaned, "_cleaned", "_words")
-    return remove_stopwords(split, "_words", out, stopwords).drop("_cleaned", "_words")
+    """Clean, drop blank texts, tokenise and drop stopwords: the word array the analyses start from.
+
+    Blank texts are found on the raw text, since a filter on the cleaned one would clean it twice.
+    """
+    stop = default_stopwords() if stopwords is None else stopwords
+    filled = df.filter(X.has_word(F.col(text)))
+    return filled.withColumn(
+        out, F.filter(X.clean_words(F.col(text)), lambda w: ~w.isin(*[s.lower() for s in stop]))
+    )
 
 
 def top_vocabulary(df: DataFrame, words: str, size: int = VOCABULARY_SIZE) -> DataFrame:
@@ -73,9 +78,9 @@ def _vocabulary_statistics(df: DataFrame, words: str, size: int) -> DataFrame:
     row_mark = F.array(
         F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("tf"))
     )
-    runs = df.filter(F.col(words).isNotNull()).select(
-        F.inline(F.concat(row_mark, X.term_runs(F.col(words))))
-    )
+    # Outer, with a filter, for the reason given at ``exploded``.
+    runs = df.select(F.inline_outer(F.concat(row_mark, X.term_runs(F.col(words)))))
+    runs = runs.filter(F.col("tf").isNotNull())
     stats = runs.groupBy("word").agg(
         F.sum("tf").alias("count"), F.count(F.lit(1)).alias("doc_freq")
     )
@@ -96,7 +101,7 @@ def _vocabulary_statistics(df: DataFrame, words: str, size: int) -> DataFrame:
 
 
 def _term_rows(df: DataFrame, key: str, words: str) -> DataFrame:
-    return df.select(key, F.inline(X.term_runs(F.col(words))))
+    return df.select(key, F.inline_outer(X.term_runs(F.col(words)))).filter(F.col("word").isNotNull())
 
 
 def term_frequencies(
@@ -134,8 +139,15 @@ def top_tfidf_terms(
 def frequent_words(
     df: DataFrame, text: str, size: int = VOCABULARY_SIZE, stopwords: Sequence[str] | None = None
 ) -> DataFrame:
-    """``(word, count)`` of the most frequent words of a text column."""
-    return top_vocabulary(analysed_words(df, text, "_terms", stopwords), "_terms", size)
+    """``(word, count)`` of the most frequent words of a text column.
+
+    The same words as ``analysed_words``, exploded before the stopwords are dropped, so that all but
+    the cleaning runs in generated code.
+    """
+    stop = default_stopwords() if stopwords is None else stopwords
+    words = exploded(df, [], X.clean_words(F.col(text)), "word")
+    kept = words.filter((F.col("word") != "") & ~F.col("word").isin(*[w.lower() for w in stop]))
+    return count_by(kept, ["word"]).limit(size)
 
 
 def term_vectors(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Skewed joins are split by map-output blocks at run time, which stays exact even when the hot
 # rows are identical copies; a content-based salt could not spread those.
@@ -40,3 +40,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="shelfmark-")
     return f"{base.rstrip('/')}/shelfmark-{uuid.uuid4().hex}/{label}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share heavy per-row work among all cores when the input has fewer files than there are cores.
+
+    A small file is one unit of reading, so a costly projection on it would run in one task. A large
+    input has many more files than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
