@@ -149,14 +149,25 @@ def tag_counts_per_cluster(
     return trimmed.groupBy(cluster, tag).agg(F.count(F.lit(1)).alias("count"))
 
 
+# Groups of tasks whose partial vector sums are merged before the final merge.
+MERGE_SLICES = 256
+
+
 def mean_vector(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean per dimension, over all rows or per ``by``, as rows ``(.., dim, mean)``.
 
     Vectors are summed as vectors; only one mean vector per group is exploded into dimensions.
+    Every task ends with one vector per group, and those are merged in two rounds, so that no single
+    task reads the vectors of all others, however few groups there are.
     """
-    means = (
+    slices = F.pmod(F.spark_partition_id(), F.lit(MERGE_SLICES)).alias("_slice")
+    partial = (
         df.filter(F.col(vector).isNotNull())
-        .groupBy(*by)
-        .agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)))).alias("_mean"))
+        .select(*by, slices, array_to_vector(F.col(vector)).alias("_v"))
+        .groupBy(*by, "_slice")
+        .agg(Summarizer.mean(F.col("_v")).alias("_v"), F.count(F.lit(1)).cast("double").alias("_n"))
+    )
+    means = partial.groupBy(*by).agg(
+        vector_to_array(Summarizer.mean(F.col("_v"), F.col("_n"))).alias("_mean")
     )
     return means.select(*by, F.posexplode("_mean").alias("dim", "mean"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators.relate import broadcast_if_bounded
+from shelfmark.schema import CLUSTERS
+
 
 def top_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "row_num"
@@ -85,19 +88,27 @@ def top_dims_per_cluster(means: DataFrame, cluster: str, k: int = 5) -> DataFram
 
 
 def top_items_per_dim_per_cluster(
-    df: DataFrame, means: DataFrame, key: str, vector: str, cluster: str, dims: int = 3, items: int = 3
+    df: DataFrame,
+    means: DataFrame,
+    key: str,
+    vector: str,
+    cluster: str,
+    dims: int = 3,
+    items: int = 3,
+    clusters: int = CLUSTERS,
 ) -> DataFrame:
     """For the ``dims`` best dimensions of each cluster its ``items`` highest items.
 
-    The best dimensions come as one short array per cluster, so the vectors are joined once and a
-    row grows by ``dims`` numbers, not by its whole vector.
+    The best dimensions come as one short array per cluster, ``clusters`` rows in all. They are
+    broadcast (up to the limit for hinted broadcasts), since a shuffle on so few keys would put each
+    cluster into one task; the vectors stay where they are and only short rows go on to the ranking.
     """
     best = (
         top_dims_per_cluster(means, cluster, dims)
         .groupBy(cluster)
         .agg(F.sort_array(F.collect_list(F.struct("dim_rank", "dim", "mean"))).alias("best"))
     )
-    values = df.join(best, cluster).select(
+    values = df.join(broadcast_if_bounded(best, clusters), cluster).select(
         key,
         cluster,
         F.inline_outer(F.transform(

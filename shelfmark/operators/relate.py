@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.filters import drop_nulls_subset
+
 # Rows a hinted broadcast may have at most; only for sides limited to a number of rows before.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -28,10 +30,17 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     shuffles the short key list once more, and its inputs stay plain shuffles that the adaptive
     rule can split when the other side has a hot key.
     """
-    present = df.select(*keys).na.drop("any")
+    present = drop_nulls_subset(df.select(*keys), keys)
     return present.select(F.xxhash64(*keys).alias("_hash"), *keys).distinct().select(*keys)
 
 
+def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
+    """Raise when a key occurs twice (runs a job over the key columns)."""
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    if not repeated.isEmpty():
+        raise ValueError(f"repeated keys in {', '.join(keys)}")
+
+
 def left_join_unique(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
     """Left join with a side that has each key once: cluster labels, or metadata by id."""
     return df.join(other, on, "left")

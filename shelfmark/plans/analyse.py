@@ -9,7 +9,7 @@ from shelfmark.operators import aggregate as A
 from shelfmark.operators import rank as R
 from shelfmark.operators.filters import filter_min
 from shelfmark.operators.project import cast_numeric, concat_skip_nulls, floor_bucket, strip_chars
-from shelfmark.operators.relate import left_join_unique, semi_join_available
+from shelfmark.operators.relate import assert_unique, left_join_unique, semi_join_available
 from shelfmark.operators.text import frequent_words
 from shelfmark.operators.vectors import kmeans_assign, pca_project
 from shelfmark.schema import (
@@ -56,7 +56,7 @@ def word_report(rated: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
 
 
 def cluster_reports(
-    clustered: DataFrame, rated: DataFrame, key: str = "id", vector: str = "embedding"
+    clustered: DataFrame, rated: DataFrame, key: str = "id", vector: str = "embedding", k: int = CLUSTERS
 ) -> dict[str, DataFrame]:
     """Reports over rows that have ``key``, a vector and ``cluster``."""
     means = A.mean_vector(clustered, vector)
@@ -72,7 +72,7 @@ def cluster_reports(
         "top_items_on_top_dim": R.top_items_on_top_dim(clustered, means, key, vector),
         "top_dims_per_cluster": R.top_dims_per_cluster(cluster_means, "cluster"),
         "top_items_per_dim": R.top_items_per_dim_per_cluster(
-            clustered, cluster_means, key, vector, "cluster"
+            clustered, cluster_means, key, vector, "cluster", clusters=k
         ),
         "avg_rating_per_cluster": A.avg_bucket_per_cluster(meta, "cluster", "rating_group"),
         "top_genres_per_cluster": R.top_tags_per_cluster(tags, "cluster", "genre"),
@@ -94,6 +94,7 @@ def run_analysis(
     prepared = prepare(read_csv_multi(spark, cleaned_csv))
     high_rated(prepared).write.parquet(f"{out}/high_rated")
     rated = spark.read.parquet(f"{out}/high_rated")
+    assert_unique(rated, [key])
 
     features = semi_join_available(read_features_parquet(spark, vectors), rated, key)
     write_features_parquet(kmeans_assign(features, vector, k, seed), f"{out}/clustered")
@@ -102,7 +103,7 @@ def run_analysis(
     bounded = {
         **rating_reports(prepared, rated),
         "frequent_words": word_report(rated),
-        **cluster_reports(clustered, rated, key, vector),
+        **cluster_reports(clustered, rated, key, vector, k),
     }
     paths = {
         name: write_result_csv(report, f"{out}/{name}", single_file=True)
