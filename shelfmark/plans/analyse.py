@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from shelfmark.functions.columns import TITLE_CHARS
 from shelfmark.operators import aggregate as A
@@ -11,7 +12,7 @@ from shelfmark.operators.filters import filter_min
 from shelfmark.operators.project import cast_numeric, concat_skip_nulls, floor_bucket, strip_chars
 from shelfmark.operators.relate import assert_unique, left_join_unique, semi_join_available
 from shelfmark.operators.text import frequent_words
-from shelfmark.operators.vectors import kmeans_assign, pca_project
+from shelfmark.operators.vectors import gather_columns, kmeans_assign, pca_project
 from shelfmark.schema import (
     CLUSTER_SEED,
     CLUSTERS,
@@ -88,15 +89,25 @@ def run_analysis(
     vector: str = "embedding",
     k: int = CLUSTERS,
     seed: int = CLUSTER_SEED,
+    schema: T.StructType | None = None,
+    wide_prefix: str | None = None,
 ) -> dict[str, str]:
-    """All reports. The high rated rows and the clustered vectors feed several of them, so each is
-    written once as parquet and read from there; a lost executor costs a re-read, not a re-run."""
-    prepared = prepare(read_csv_multi(spark, cleaned_csv))
+    """All reports over the cleaned table and the stored vectors.
+
+    The high rated rows and the clustered vectors feed several reports, so each is written once as
+    parquet and read from there; a lost executor costs a re-read, not a re-run. ``schema`` saves the
+    pass that infers the types of the CSV. With ``wide_prefix`` the vectors are columns
+    ``<prefix>0, <prefix>1, ..`` rather than one array column.
+    """
+    prepared = prepare(read_csv_multi(spark, cleaned_csv, schema))
     high_rated(prepared).write.parquet(f"{out}/high_rated")
     rated = spark.read.parquet(f"{out}/high_rated")
     assert_unique(rated, [key])
 
-    features = semi_join_available(read_features_parquet(spark, vectors), rated, key)
+    stored = read_features_parquet(spark, vectors)
+    if wide_prefix is not None:
+        stored = gather_columns(stored, key, wide_prefix, vector)
+    features = semi_join_available(stored, rated, key)
     write_features_parquet(kmeans_assign(features, vector, k, seed), f"{out}/clustered")
     clustered = spark.read.parquet(f"{out}/clustered")
 
