@@ -33,16 +33,21 @@ def main() -> None:
 
     for job in (harvest, clean, analyse):
         job.add_argument("--out", required=True)
+        job.add_argument(
+            "--single-line", action="store_true", help="no line breaks inside CSV fields: read in parallel"
+        )
     args = parser.parse_args()
 
+    multi_line = not args.single_line
     spark = build_session(f"shelfmark-{args.job}", args.master)
     if args.job == "harvest":
-        print(run_harvest(spark, args.catalog, args.drops, args.out))
+        print(run_harvest(spark, args.catalog, args.drops, args.out, multi_line))
     elif args.job == "clean":
-        print(run_clean(spark, args.catalog, args.out, args.base_url, args.rows_per_file))
+        print(run_clean(spark, args.catalog, args.out, args.base_url, args.rows_per_file, multi_line))
     else:
         print(run_analysis(
-            spark, args.cleaned, args.vectors, args.out, k=args.clusters, wide_prefix=args.wide_prefix
+            spark, args.cleaned, args.vectors, args.out, k=args.clusters, wide_prefix=args.wide_prefix,
+            multi_line=multi_line,
         ))
     spark.stop()
 

@@ -91,6 +91,7 @@ def run_analysis(
     seed: int = CLUSTER_SEED,
     schema: T.StructType | None = None,
     wide_prefix: str | None = None,
+    multi_line: bool = True,
 ) -> dict[str, str]:
     """All reports over the cleaned table and the stored vectors.
 
@@ -99,7 +100,7 @@ def run_analysis(
     pass that infers the types of the CSV. With ``wide_prefix`` the vectors are columns
     ``<prefix>0, <prefix>1, ..`` rather than one array column.
     """
-    prepared = prepare(read_csv_multi(spark, cleaned_csv, schema))
+    prepared = prepare(read_csv_multi(spark, cleaned_csv, schema, multi_line=multi_line))
     high_rated(prepared).write.parquet(f"{out}/high_rated")
     rated = spark.read.parquet(f"{out}/high_rated")
     assert_unique(rated, [key])

@@ -37,15 +37,20 @@ def clean_catalog(
 
 
 def run_clean(
-    spark: SparkSession, catalog_csv: str | list[str], out: str, base_url: str, chunk_size: int = ROWS_PER_FILE
+    spark: SparkSession,
+    catalog_csv: str | list[str],
+    out: str,
+    base_url: str,
+    chunk_size: int = ROWS_PER_FILE,
+    multi_line: bool = True,
 ) -> dict[str, str]:
     """Read, profile, clean, write in chunks, profile what was written."""
-    catalog = read_catalog_csv(spark, catalog_csv, CATALOG_SCHEMA)
+    catalog = read_catalog_csv(spark, catalog_csv, CATALOG_SCHEMA, multi_line=multi_line)
     cleaned = clean_catalog(catalog, base_url)
     paths = {
         "profile_before": write_result_csv(null_profile(catalog), f"{out}/profile_before", True),
         "cleaned": write_csv_chunked(cleaned, f"{out}/cleaned", chunk_size, null_value=""),
     }
-    written = read_catalog_csv(spark, paths["cleaned"], cleaned.schema, null_tokens=[""])
+    written = read_catalog_csv(spark, paths["cleaned"], cleaned.schema, [""], multi_line)
     paths["profile_after"] = write_result_csv(null_profile(written), f"{out}/profile_after", True)
     return paths

@@ -50,10 +50,15 @@ def merge_daily(old: DataFrame, new: DataFrame, key: str, score: str) -> DataFra
     return sort_by_score(union_by_name(kept, newest), score, key)
 
 
-def run_harvest(spark: SparkSession, old_csv: str | list[str], drops: str | list[str], out: str) -> str:
-    """Merge NDJSON drops into a CSV catalogue; unreadable records go next to it."""
+def run_harvest(
+    spark: SparkSession, old_csv: str | list[str], drops: str | list[str], out: str, multi_line: bool = True
+) -> str:
+    """Merge NDJSON drops into a CSV catalogue; unreadable records go next to it.
+
+    ``multi_line=False`` is for an old catalogue without line breaks in its fields.
+    """
     good, bad = quarantine_missing(read_ndjson(spark, drops, RAW_SCHEMA), "id", CORRUPT)
     bad.write.mode("error").json(f"{out}/quarantine")
-    old = read_catalog_csv(spark, old_csv, CATALOG_SCHEMA)
+    old = read_catalog_csv(spark, old_csv, CATALOG_SCHEMA, multi_line=multi_line)
     merged = merge_daily(old, flatten_records(good), "id", "vote_count")
     return write_csv_quoteall_sorted(merged, f"{out}/catalog", "vote_count", "id")

@@ -43,10 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share heavy per-row work among all cores when the input has fewer files than there are cores.
+    """Share heavy per-row work among all cores when a table is a few small files.
 
-    A small file is one unit of reading, so a costly projection on it would run in one task. A large
-    input has many more files than cores and is left as it is.
+    A small file is often one unit of reading, so a costly projection on it runs in one task. A
+    table of many files, or of files large enough to be read in more pieces than there are cores, is
+    left as it is. ``df`` must read files directly, without a shuffle before.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    small = df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) < cores
+    return df.repartition(cores) if small else df

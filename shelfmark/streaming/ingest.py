@@ -25,6 +25,7 @@ def ingest_increment(
     order: Sequence[Column],
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     quarantine: str | None = None,
+    files_per_batch: int | None = None,
 ) -> None:
     """Add the records of all new files in ``drops`` to ``target``, the first record per ``key``.
 
@@ -33,12 +34,15 @@ def ingest_increment(
     grows with the number of ids. A micro-batch writes its own ``batch=`` folder and overwrites it
     when it runs again after a failure, so a restart adds nothing twice. Unreadable records and
     those without a key go to ``quarantine``, or are left out when none is named.
+    ``files_per_batch`` cuts a large backlog into several batches.
     """
-    records = (
-        spark.readStream.schema(with_corrupt(schema))
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(drops)
-    )
+    reader = spark.readStream.schema(with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    records = reader.json(drops)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         good, bad = quarantine_missing(batch, key, CORRUPT)
@@ -46,14 +50,16 @@ def ingest_increment(
             bad.write.mode("overwrite").parquet(f"{quarantine}/{BATCH}={batch_id}")
         fresh = dedup_by_id(prepare(good.drop(CORRUPT)), key, order)
         if batch_id > 0:
+            # Computed first: Spark then knows its size, and broadcasts its keys while they are few.
             fresh = fresh.persist()
+            fresh.count()
             held = read_ingested(batch.sparkSession, target).filter(F.col(BATCH) < batch_id)
             # The held side is narrowed to the ids of this batch first; it is the large one.
             seen = semi_join_available(held.select(key), fresh, key)
-            anti_join_pending(fresh, seen, key).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+            write(anti_join_pending(fresh, seen, key), batch_id)
             fresh.unpersist()
         else:
-            fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+            write(fresh, batch_id)
 
     query = (
         records.writeStream.foreachBatch(add_batch)

@@ -1,6 +1,9 @@
 """Ingest and the composed jobs, on files."""
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +142,27 @@ def test_clean_then_analyse(spark, jobs):
     assert len(report["top_dims_per_cluster"]) == 3 * 4
     names = {r.a for r in report["correlation_matrix"]}
     assert names == {"rating_group", "runtime", "revenue", "budget"}
+
+
+def test_many_small_batches_give_the_same_catalogue(spark, tmp_path):
+    for i in range(4):
+        drop(tmp_path / "drops", f"{i}.json", [{"id": j, "seq": i, "v": f"{i}"} for j in range(i + 2)])
+    ingest_increment(
+        spark, str(tmp_path / "drops"), str(tmp_path / "held"), str(tmp_path / "cp"), SCHEMA, "id",
+        [F.asc("seq")], files_per_batch=1,
+    )
+    held = read_ingested(spark, str(tmp_path / "held")).collect()
+    assert sorted(r.id for r in held) == list(range(5))
+    assert {r.batch for r in held} <= {0, 1, 2, 3}
+
+
+def test_command_line(jobs):
+    root, path = jobs
+    out = root / "cli"
+    done = subprocess.run(
+        [sys.executable, "-m", "shelfmark", "--master", "local[2]", "clean", "--catalog", path, "--base-url",
+         "https://img.example.org", "--single-line", "--out", str(out)],
+        cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=300,
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert sum(len(p.read_text().splitlines()) - 1 for p in (out / "cleaned").glob("part-*.csv")) == 24
