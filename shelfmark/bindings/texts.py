@@ -31,7 +31,8 @@ _SPACES = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 SQL_SEPARATORS = f"[,{_SPACES}]+"
-_CLEANED = r"""trim(regexp_replace(regexp_replace(lower(text), '[^a-zA-Z\x09-\x0d ]', '', 'g'), '[\x09-\x0d ]+', ' ', 'g'))"""
+_CLEANED = r"""trim(regexp_replace(
+  regexp_replace(lower(text), '[^a-zA-Z\x09-\x0d ]', '', 'g'), '[\x09-\x0d ]+', ' ', 'g'))"""
 _STOP = sql_list(ENGLISH_STOPWORDS)
 WORDS = f"""
 cleaned AS (SELECT doc_id, {_CLEANED} AS cleaned_text FROM documents),

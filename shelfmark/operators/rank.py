@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from shelfmark.operators.relate import broadcast_if_bounded
 from shelfmark.schema import CLUSTERS
 
+# Slices of a group in the two-round form of ``top_per_group``.
+TOP_SLICES = 4096
+
 
 def top_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "row_num"
@@ -24,10 +27,10 @@ def top_per_group(
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
         # A partition number stays the same when a lost task runs again, and it spreads copies of
-        # one row, which a hash of the row would not.
+        # one row, which a hash of the row would not. At most TOP_SLICES x k rows of a group go on.
         sliced = Window.partitionBy(*group, "_slice").orderBy(*order)
         df = (
-            df.withColumn("_slice", F.spark_partition_id())
+            df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(TOP_SLICES)))
             .withColumn("_pos", F.row_number().over(sliced))
             .filter(F.col("_pos") <= k)
             .drop("_slice", "_pos")

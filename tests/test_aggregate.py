@@ -22,7 +22,12 @@ def test_null_profile(spark):
     assert sorted(rows(A.null_profile(df))) == [("a", 2, 1), ("b", 1, 2)]
 
 
-NUMERIC = [(1.0, 2.0, -1.0, 5.0, None, 0.1), (2.0, 4.0, -2.0, 1.0, None, 0.1), (3.0, 6.0, -3.0, 4.0, None, 0.1), (4.0, 8.0, -4.0, 9.0, None, 0.1)]
+NUMERIC = [
+    (1.0, 2.0, -1.0, 5.0, None, 0.1),
+    (2.0, 4.0, -2.0, 1.0, None, 0.1),
+    (3.0, 6.0, -3.0, 4.0, None, 0.1),
+    (4.0, 8.0, -4.0, 9.0, None, 0.1),
+]
 NAMES = ["x", "double", "minus", "loose", "empty", "same"]
 
 
@@ -136,7 +141,8 @@ def test_orders(spark):
     df = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, None)], "id int, s int")
     assert [r.id for r in R.sort_by_score(df, "s", "id").collect()] == [2, 1, 3, 4]
     assert [r.id for r in R.preview_rows(df, "id", ["id"], 2).collect()] == [1, 2]
-    tags = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "c", 1), (1, "a", 1), (1, "b", 1)], "c int, tag string, count long")
+    counted = [(0, "a", 1), (0, "b", 2), (1, "c", 1), (1, "a", 1), (1, "b", 1)]
+    tags = spark.createDataFrame(counted, "c int, tag string, count long")
     assert rows(R.top_tags_per_cluster(tags, "c", "tag", k=2)) == [(1, "a", 1), (1, "b", 1), (0, "b", 2), (0, "a", 1)]
 
 

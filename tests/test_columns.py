@@ -43,7 +43,8 @@ def test_date_parts_takes_bad_and_missing_dates_as_null(spark):
 
 
 def test_concat_forms_differ_on_nulls(spark):
-    df = spark.createDataFrame([(0, "a", None, "c"), (1, None, "b", None), (2, "a", "", "c")], "k int, x string, y string, z string")
+    rows = [(0, "a", None, "c"), (1, None, "b", None), (2, "a", "", "c")]
+    df = spark.createDataFrame(rows, "k int, x string, y string, z string")
     assert values(P.concat_fill(df, "t", "x", "y", "z"), "t") == ["a  c", None, "a  c"]
     assert values(P.concat_skip_nulls(df, "t", "x", "y", "z"), "t") == ["a c", "b", "a  c"]
 
