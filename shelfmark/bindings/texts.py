@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.bindings.registry import Tables, query, rounded, sql_list
 from shelfmark.functions import text as X
-from shelfmark.functions.wordlists import ENGLISH_STOPWORDS, default_stopwords
+from shelfmark.functions.wordlists import ANALYSIS_STOPWORDS, ENGLISH_STOPWORDS
 from shelfmark.operators import text as O
 from shelfmark.operators.aggregate import word_counts
 from shelfmark.schema import VOCABULARY_SIZE
 from shelfmark.session import spread
 
 
-def _spark_stopwords() -> list[str]:
-    """Spark ML's English list, read from its jar so that the SQL can be built without a session."""
-    for jar in (Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"):
-        with zipfile.ZipFile(jar) as z:
-            return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-    return default_stopwords()
-
-
 # The separators of a token, written out for a regex engine whose ``\\s`` is ASCII only.
 _SPACES = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -39,7 +27,7 @@ cleaned AS (SELECT doc_id, {_CLEANED} AS cleaned_text FROM documents),
 words AS (
   SELECT doc_id, unnest(string_split(cleaned_text, ' ')) AS word FROM cleaned WHERE cleaned_text <> '')"""
 KEPT_WORDS = f"""{WORDS},
-kept AS (SELECT doc_id, word FROM words WHERE word NOT IN ({sql_list(_spark_stopwords())}))"""
+kept AS (SELECT doc_id, word FROM words WHERE word NOT IN ({sql_list(ANALYSIS_STOPWORDS)}))"""
 _TERMS = f"""{KEPT_WORDS},
 vocab AS (SELECT word, count(*) AS count FROM kept GROUP BY word ORDER BY count(*) DESC, word LIMIT {VOCABULARY_SIZE}),
 tf AS (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.functions.wordlists import default_stopwords
+from shelfmark.functions.wordlists import ANALYSIS_STOPWORDS
 from shelfmark.operators.aggregate import count_by, word_counts
 from shelfmark.operators.project import exploded
 from shelfmark.operators.relate import broadcast_if_bounded
@@ -46,7 +46,7 @@ def remove_stopwords(
     df: DataFrame, words: str, out: str, stopwords: Sequence[str] | None = None
 ) -> DataFrame:
     """Add ``out``: ``words`` without stopwords, by default Spark ML's English ones."""
-    stop = default_stopwords() if stopwords is None else stopwords
+    stop = ANALYSIS_STOPWORDS if stopwords is None else stopwords
     return df.withColumn(out, X.without_stopwords(F.col(words), stop))
 
 
@@ -57,7 +57,7 @@ def analysed_words(
 
     Blank texts are found on the raw text, since a filter on the cleaned one would clean it twice.
     """
-    stop = default_stopwords() if stopwords is None else stopwords
+    stop = ANALYSIS_STOPWORDS if stopwords is None else stopwords
     filled = df.filter(X.has_word(F.col(text)))
     return filled.withColumn(
         out, F.filter(X.clean_words(F.col(text)), lambda w: ~w.isin(*[s.lower() for s in stop]))
@@ -144,7 +144,7 @@ def frequent_words(
     The same words as ``analysed_words``, exploded before the stopwords are dropped, so that all but
     the cleaning runs in generated code.
     """
-    stop = default_stopwords() if stopwords is None else stopwords
+    stop = ANALYSIS_STOPWORDS if stopwords is None else stopwords
     words = exploded(df, [], X.clean_words(F.col(text)), "word")
     kept = words.filter((F.col("word") != "") & ~F.col("word").isin(*[w.lower() for w in stop]))
     return count_by(kept, ["word"]).limit(size)

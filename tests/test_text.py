@@ -9,10 +9,11 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.functions.wordlists import ENGLISH_STOPWORDS, default_stopwords
+from shelfmark.functions.wordlists import ANALYSIS_STOPWORDS, ENGLISH_STOPWORDS
 from shelfmark.operators import text as O
 
 PATTERNS = [r"[a-zA-Z]*\d+[a-zA-Z]*", r"[a-zA-Z0-9]*[^\w\s][a-zA-Z0-9]*"]
@@ -175,4 +176,5 @@ def test_frequent_words_equal_the_array_route(spark):
 
 def test_stopword_lists(spark):
     assert len(ENGLISH_STOPWORDS) == len(set(ENGLISH_STOPWORDS)) == 198
-    assert len(default_stopwords()) == 181
+    assert len(ANALYSIS_STOPWORDS) == 181
+    assert StopWordsRemover.loadDefaultStopWords("english") == ANALYSIS_STOPWORDS
