@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.llm import idstore
 from shelfmark.llm.jaccard import jaccard_components
+from shelfmark.llm.packing import pack_documents
+from shelfmark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +30,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(_table(spark, folder, "documents"), path, end_id=0, capacity=2048)
+
+
+@_query("op2_token_id_store")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    root = scratch_path(spark, "token_ids")
+    idstore.write_pages(_table(spark, folder, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    idstore.build_index(spark, root)
+    return idstore.stored_documents(spark, root)
+
+
 @_query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"), "doc_id", "text", k=3, percent=90)
