@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import idstore
 from shelfmark.llm.jaccard import jaccard_components
+from shelfmark.llm.language import identify_languages
 from shelfmark.llm.packing import pack_documents
 from shelfmark.session import scratch_path
 
@@ -47,3 +48,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"), "doc_id", "text", k=3, percent=90)
+
+
+@_query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(_table(spark, folder, "documents"))
