@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import idstore
+from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.language import identify_languages
 from shelfmark.llm.packing import pack_documents
@@ -53,3 +54,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op5_language_id")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(_table(spark, folder, "documents"))
+
+
+@_query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("items")
