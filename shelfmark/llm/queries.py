@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import idstore
+from shelfmark.llm import idstore, warc
 from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.language import identify_languages
 from shelfmark.llm.packing import pack_documents
+from shelfmark.llm.sharding import ring_shards
 from shelfmark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_benchmark_decontamination")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("items")
+
+
+@_query("op6_consistent_hash_sharding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return ring_shards(_table(spark, folder, "documents"), shards=24)
+
+
+@_query("op7_zstd_warc")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    root = scratch_path(spark, "archives")
+    warc.write_archives(_table(spark, folder, "pages"), root)
+    return warc.record_digests(warc.read_archives(spark, root))
