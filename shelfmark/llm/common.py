@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.session import scratch_path
 
@@ -25,7 +26,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with ``f`` giving columns (by name) for each batch of rows."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,18 +37,18 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], sc
     return df.mapInArrow(run, schema)
 
 
-def sum_arrays(partials: DataFrame, key: str, size: int) -> dict:
+def sum_arrays(partials: DataFrame, key: str, size: int, combine: np.ufunc = np.add) -> dict:
     """Sums, per value of ``key``, of the arrays of ``size`` numbers given as rows ``(key, slice, salt, counts)``.
 
-    ``counts`` holds little-endian int64. The sum is made in two rounds, first per salt, so that no
-    task gets the parts of all tasks. Only the sums, of fixed size, reach the driver.
+    ``counts`` holds little-endian int64; ``combine`` may be another operation than addition. It is done in two rounds,
+    first per salt, so that no task gets the parts of all tasks. Only the sums, of fixed size, reach the driver.
     """
     schema = f"{key} string, slice int, salt int, counts binary"
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(pdf["counts"].iloc[0]) // 8, dtype="<i8")
         for part in pdf["counts"]:
-            total += np.frombuffer(part, dtype="<i8")
+            combine(total, np.frombuffer(part, dtype="<i8"), out=total)
         return pdf.iloc[:1].assign(counts=[total.tobytes()])
 
     rows = partials.select(F.col(key).cast("string").alias(key), "slice", "salt", "counts")

@@ -39,7 +39,7 @@ from shelfmark.llm.components import components
 from shelfmark.llm.words import BLANKS, groups_by_size, mix, raw_text, shingles, words
 
 SLOTS = 1 << 20
-FILTER = 1 << 23
+FILTER = 1 << 25
 BITS = 1024
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 22
@@ -92,11 +92,12 @@ def subset_count(n: int, percent: int) -> int:
 def choose_boundary(sizes: dict[int, int], percent: int, list_length: float) -> int:
     """The set size from which inverted lists cost less than subsets, given how many sets have each size.
 
-    A subset costs one entry; a large set costs one entry per prefix shingle and, for each other member
-    it meets there, a comparison of n shingles.
+    A subset costs one entry. A large set costs, for each prefix shingle, the scan of a list of ``list_length``, and at
+    most one more reading of its n shingles to be verified.
     """
-    listed = {n: c * (missing(n, percent) + 1) * (1 + n * max(list_length - 1, 0.0)) for n, c in sizes.items()}
-    best, boundary, cost = sum(listed.values()), 1, sum(listed.values())
+    listed = {n: c * ((missing(n, percent) + 1) * list_length + n) for n, c in sizes.items()}
+    cost = best = sum(listed.values())
+    boundary = 1
     for n in sorted(sizes):
         cost += sizes[n] * subset_count(n, percent) - listed[n]
         if cost <= best:
@@ -104,6 +105,14 @@ def choose_boundary(sizes: dict[int, int], percent: int, list_length: float) ->
     return boundary
 
 
+def rare_list_length(counts: np.ndarray, share: float) -> float:
+    """About how many sets hold one of the rarest ``share`` of shingles, from the hashed counters."""
+    ordered = np.sort(counts)
+    mass = np.cumsum(ordered)
+    rare = ordered[:max(1, int(np.searchsorted(mass, share * mass[-1])))] if mass[-1] else ordered[:1]
+    return 1.0 + max(0.0, float(rare.mean()) - float(np.median(counts)))
+
+
 def set_table(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     """``(key, n, fp1, fp2, bits)`` for each row, and each task's counters as further rows with ``slice``."""
 
@@ -145,9 +154,9 @@ def set_table(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
 
 
 def signature_table(docs: DataFrame, text: str, k: int, percent: int, boundary: int, ranks) -> DataFrame:
-    """List entries ``(kind, token, size, pos, n, fp1, fp2)`` of every text.
+    """List entries ``(token, pos, n, fp1, fp2)`` of every text.
 
-    ``kind`` 0: a subset, ``size`` its size. ``kind`` 1: a prefix shingle, ``pos`` its place in the global order.
+    An even token is a subset, ``pos`` its size. An odd one is a prefix shingle, ``pos`` its place in the global order.
     """
     top = boundary * 100 // percent + 1  # sizes below this can have a partner below the boundary
 
@@ -157,9 +166,8 @@ def signature_table(docs: DataFrame, text: str, k: int, percent: int, boundary:
         held = 0
 
         def flush():
-            kind, token, size, pos, n, a, b = (np.concatenate(x) for x in zip(*parts))
-            return {"kind": kind.astype(np.int32), "token": token.view(np.int64), "size": size.astype(np.int32),
-                    "pos": pos.astype(np.int32), "n": n.astype(np.int32), "fp1": a, "fp2": b}
+            token, pos, n, a, b = (np.concatenate(x) for x in zip(*parts))
+            return {"token": token.view(np.int64), "pos": pos.astype(np.int32), "n": n.astype(np.int32), "fp1": a, "fp2": b}
 
         for _, s in sets_of(batch.column(0), k):
             n = len(s)
@@ -171,45 +179,51 @@ def signature_table(docs: DataFrame, text: str, k: int, percent: int, boundary:
                 sub = list(subsets(s, percent))
                 size = np.array([x for x, _ in sub])
                 token = mix(np.array([x for _, x in sub], dtype=np.uint64) + size.astype(np.uint64))
-                rows.append((0, token, size, np.zeros(len(sub))))
+                rows.append((token & ~np.uint64(1), size))
             if n >= boundary:
                 p = missing(n, percent) + 1
                 # Rare first by the counters, then by hash.
                 place = (order[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                 token = np.sort(np.partition(place, p - 1)[:p])
-                rows.append((1, token, np.zeros(p), np.arange(p)))
-            for kind, token, size, pos in rows:
+                rows.append((token | np.uint64(1), np.arange(p)))
+            for token, pos in rows:
                 m = len(token)
                 held += m
-                parts.append((np.full(m, kind), token, size, pos, np.full(m, n), np.full(m, a), np.full(m, b)))
+                parts.append((token, pos, np.full(m, n), np.full(m, a), np.full(m, b)))
             if held > 200_000:
                 yield flush()
                 parts, held = [], 0
         if parts:
             yield flush()
 
-    return map_batches(docs.select(text), make, "kind int, token long, size int, pos int, n int, fp1 long, fp2 long")
+    return map_batches(docs.select(text), make, "token long, pos int, n int, fp1 long, fp2 long")
 
 
-def filter_of(nodes: DataFrame) -> np.ndarray:
-    """Which of ``FILTER`` slots the ``fp1`` of some node falls in: a filter of fixed size."""
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A filter of ``FILTER`` bits, packed, that every hash in the first column passes; its size does not depend on their number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER, dtype=np.int64)
+        seen = np.zeros(FILTER, dtype=bool)
         for batch in batches:
-            seen[batch.column(0).to_numpy() & (FILTER - 1)] = 1
-        for number, salt, part in slices(seen, TaskContext.get().partitionId()):
+            seen[batch.column(0).to_numpy() & (FILTER - 1)] = True
+        for number, salt, part in slices(np.packbits(seen, bitorder="little").view("<i8"), TaskContext.get().partitionId()):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(["all"]), pa.array([number], pa.int32()), pa.array([salt], pa.int32()), pa.array([part], pa.binary())],
                 ["of", "slice", "salt", "counts"])
 
-    parts = nodes.select("fp1").mapInArrow(make, "of string, slice int, salt int, counts binary")
-    return sum_arrays(parts, "of", FILTER).get("all", np.zeros(FILTER, dtype=np.int64)) > 0
+    parts = hashes.mapInArrow(make, "of string, slice int, salt int, counts binary")
+    return sum_arrays(parts, "of", FILTER // 64, np.bitwise_or).get("all", np.zeros(FILTER // 64, dtype=np.int64))
+
+
+def passes(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes pass the filter."""
+    at = h & (FILTER - 1)
+    return (packed[at >> 6] >> (at & 63) & 1) != 0
 
 
 def whole_sets(docs: DataFrame, text: str, k: int, wanted: np.ndarray) -> DataFrame:
-    """``(fp1, fp2, shingles)`` of the texts whose set passes the filter ``wanted``, the shingle hashes as an array."""
-    passing = docs.sparkSession.sparkContext.broadcast(wanted)  # FILTER bytes
+    """``(fp1, fp2, shingles)`` of the texts whose ``fp1`` passes the filter ``wanted``, the shingle hashes as an array."""
+    passing = docs.sparkSession.sparkContext.broadcast(wanted)  # FILTER bits
 
     def packed(fps, parts):
         ends = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
@@ -221,7 +235,7 @@ def whole_sets(docs: DataFrame, text: str, k: int, wanted: np.ndarray) -> DataFr
         fps, parts, held = [], [], 0
         for _, s in sets_of(batch.column(0), k):
             f = fingerprint(s)
-            if len(s) and passing.value[f[0] & (FILTER - 1)]:
+            if len(s) and passes(passing.value, np.int64(f[0])):
                 fps.append(f)
                 parts.append(s.view(np.int64))
                 held += len(s)
@@ -234,6 +248,17 @@ def whole_sets(docs: DataFrame, text: str, k: int, wanted: np.ndarray) -> DataFr
     return map_batches(docs.select(text), make, "fp1 long, fp2 long, shingles array<long>")
 
 
+def only_passing(df: DataFrame, column: str, packed: np.ndarray) -> DataFrame:
+    """Rows whose hash in ``column`` passes the filter."""
+    shared, at = df.sparkSession.sparkContext.broadcast(packed), df.columns.index(column)  # FILTER bits
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(shared.value, batch.column(at).to_numpy())))
+
+    return df.mapInArrow(make, df.schema)
+
+
 def _may_link(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
     """Bounds on two sets of n and m shingles that meet at places i and j of the order.
 
@@ -274,27 +299,29 @@ def jaccard_components(
         "classes",
     )
     sizes = {r["n"]: r["count"] for r in classes.filter("n < 100").groupBy("n").count().collect()}
-    total = float(counts.sum())
-    noise = total / SLOTS
-    meeting = float((counts.astype(float) ** 2).sum() / max(total, 1.0)) - noise  # others that a shingle's counter holds beyond chance
-    boundary = choose_boundary(sizes, percent, 1.0 + max(meeting, 0.0) / max(noise, 1.0))
+    boundary = choose_boundary(sizes, percent, rare_list_length(counts, 1 - percent / 100))
 
     entries = stored(signature_table(docs, "_text", k, percent, boundary, ranks), "entries")
-    list_of = ["kind", "token", "size"]
-    node = F.struct("fp1", "fp2")
-    first = F.struct(F.when(F.col("kind") == 0, F.col("n")).otherwise(F.col("pos")).alias("by"), "n", "pos", "fp1", "fp2")
+    # Tokens of two different sets at least; the filter keeps most other entries out of the shuffle.
+    shared = stored(
+        entries.groupBy("token").agg(F.min("fp1").alias("low"), F.max("fp1").alias("high")).filter("low <> high").select("token"), "shared"
+    )
+    live = stored(only_passing(entries, "token", filter_of(shared)).join(shared, "token"), "live")
+    is_list = F.col("token") % 2 != 0
+    first = F.struct(F.when(is_list, F.col("pos")).otherwise(F.col("n")).alias("by"), "n", "pos", "fp1", "fp2")
     heads = stored(
-        entries.groupBy(*list_of).agg(F.min(first).alias("head"), F.min(node).alias("low"), F.max(node).alias("high"))
-        .filter("low <> high").select(*list_of, *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("n", "pos", "fp1", "fp2"))),
+        live.groupBy("token").agg(F.min(first).alias("head")).select("token", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("n", "pos", "fp1", "fp2"))),
         "heads",
     )
-    met = stored(entries.join(heads, list_of), "met")
+    met = live.join(heads, "token")
     n, m, i, j = F.col("n"), F.col("h_n"), F.col("pos"), F.col("h_pos")
     other = (F.col("fp1") != F.col("h_fp1")) | (F.col("fp2") != F.col("h_fp2"))
-    sure = F.col("size") * (100 + percent) >= (n + m) * percent
+    sure = F.col("pos") * (100 + percent) >= (n + m) * percent
     ends = [F.col("h_fp1").alias("a1"), F.col("h_fp2").alias("a2"), F.col("fp1").alias("b1"), F.col("fp2").alias("b2")]
-    by_subset = met.filter((F.col("kind") == 0) & other & sure).select(*ends).distinct()
-    by_list = met.filter((F.col("kind") == 1) & other & _may_link(percent, n, m, i, j)).select(*ends).distinct()
+    candidates = stored(
+        met.filter(other & F.when(is_list, _may_link(percent, n, m, i, j)).otherwise(sure)).select(*ends, is_list.alias("check")).distinct(), "candidates"
+    )
+    by_subset, by_list = candidates.filter(~F.col("check")).drop("check"), candidates.filter("check").drop("check")
 
     slim = stored(classes.select("fp1", "fp2", "node", "n", "bits"), "nodes")
 
@@ -308,7 +335,7 @@ def jaccard_components(
         near = stored(named(named(pairs, "a"), "b").filter(_near_bits(percent)).select("a", "b", "a1", "a2", "b1", "b2"), "near")
         wanted = near.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2")).union(near.select("b1", "b2")).distinct()
         wanted = stored(wanted, "wanted")
-        sets = whole_sets(docs, "_text", k, filter_of(wanted)).join(wanted, ["fp1", "fp2"], "left_semi")
+        sets = whole_sets(docs, "_text", k, filter_of(wanted.select("fp1"))).join(wanted, ["fp1", "fp2"], "left_semi")
         own = stored(sets.groupBy("fp1", "fp2").agg(F.first("shingles").alias("s")), "whole")
         a = near.join(own.withColumnsRenamed({"fp1": "a1", "fp2": "a2", "s": "a_set"}), ["a1", "a2"])
         both = a.join(own.withColumnsRenamed({"fp1": "b1", "fp2": "b2", "s": "b_set"}), ["b1", "b2"])
@@ -321,7 +348,7 @@ def jaccard_components(
 
     # What is left: members of one list that are not yet in one component.
     known = slim.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("label"))
-    listed = met.filter("kind = 1").select("token", "n", "pos", "fp1", "fp2")
+    listed = live.filter(is_list)
     listed = stored(listed.join(stored(known, "known"), ["fp1", "fp2"]), "listed")
     mixed = stored(
         listed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"), "mixed"

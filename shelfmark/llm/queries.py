@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm import idstore, warc
 from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.language import identify_languages
 from shelfmark.llm.packing import pack_documents
+from shelfmark.llm.search import search
 from shelfmark.llm.sharding import ring_shards
 from shelfmark.session import scratch_path
 
@@ -72,3 +74,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, folder, "pages"), root)
     return warc.record_digests(warc.read_archives(spark, root))
+
+
+@_query("op4_exact_top_k_search")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    queries = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(docs, queries, k=10)
