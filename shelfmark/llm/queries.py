@@ -13,7 +13,9 @@ from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.language import identify_languages
 from shelfmark.llm.packing import pack_documents
+from shelfmark.llm.preference import ordered_turns, preference_turns, stale_replies
 from shelfmark.llm.search import search
+from shelfmark.llm.secrets import scan_secrets
 from shelfmark.llm.sharding import ring_shards
 from shelfmark.session import scratch_path
 
@@ -81,3 +83,36 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     queries = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search(docs, queries, k=10)
+
+
+@_query("op9_preference_format", """
+WITH turns AS (
+  SELECT conv_id AS pair_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS nth, role, text
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, nth) AS place FROM turns),
+last AS (SELECT pair_id, max(place) AS last FROM placed WHERE role = 'assistant' GROUP BY pair_id),
+stale AS (SELECT pair_id, arg_max(text, place) AS stale FROM placed JOIN last USING (pair_id)
+          WHERE role = 'assistant' AND place < last GROUP BY pair_id),
+kept AS (
+  SELECT placed.*, coalesce(place = last, false) AS is_last, coalesce(stale, '') AS stale
+  FROM placed LEFT JOIN last USING (pair_id) LEFT JOIN stale USING (pair_id) WHERE last IS NULL OR place <= last),
+first AS (SELECT pair_id, min(place) AS first FROM kept WHERE is_last AND text <> stale GROUP BY pair_id),
+parts AS (
+  SELECT pair_id, CASE WHEN first IS NULL OR place < first THEN 'prompt' ELSE 'chosen' END AS part, turn, nth, role, text
+  FROM kept LEFT JOIN first USING (pair_id)
+  UNION ALL
+  SELECT pair_id, 'rejected', turn, nth, role, CASE WHEN is_last THEN stale ELSE text END
+  FROM kept JOIN first USING (pair_id) WHERE place >= first)
+SELECT pair_id, part, turn, CAST(nth AS INTEGER) AS nth, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 14 ELSE 0 END AS INTEGER) AS loss_start,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 21 + length(text) ELSE 0 END AS INTEGER) AS loss_end
+FROM parts""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    turns = ordered_turns(_table(spark, folder, "conversations"))
+    return preference_turns(*stale_replies(turns))
+
+
+@_query("op10_secret_scan")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(_table(spark, folder, "documents"))
