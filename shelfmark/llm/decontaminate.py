@@ -207,3 +207,12 @@ def contamination(
         F.col("_k").alias(key), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), items.alias("items"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark. Rows are told apart by key and text."""
+    mark = [F.xxhash64(key, text), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
+    own = docs.select(F.struct(mark[0].alias("a"), mark[1].alias("b")).alias("_mark"), F.col(text).alias("_t"))
+    found = contamination(own, benchmark, "_mark", "_t").filter("contaminated").select("_mark.a", "_mark.b").distinct()
+    bad = stored(found.withColumnsRenamed({"a": "_a", "b": "_b"}), "contaminated")
+    return docs.join(bad, (mark[0] == F.col("_a")) & (mark[1] == F.col("_b")), "left_anti")

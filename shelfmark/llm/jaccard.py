@@ -374,3 +374,19 @@ def jaccard_components(
         F.coalesce("component", "_id").alias("component_id"),
         F.lit(boundary).alias("boundary"),
     )
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less near duplicates: of each component the row with the smallest key stays.
+
+    Rows without a key all stay. Rows that repeat key and text are one; rows with one key and other texts stay or go together,
+    with the component of any of them that names the key.
+    """
+    found = jaccard_components(docs, key, text, k, percent)
+    keys = found.select(F.col(key).alias("_key"), (F.col("component_id") == F.col(key)).alias("_first")).filter("_key IS NOT NULL")
+    gone = keys.groupBy("_key").agg(F.max("_first").alias("_stays")).filter("NOT _stays").select("_key")
+    kept = docs.join(stored(gone, "gone"), F.col(key) == F.col("_key"), "left_anti")
+    repeated = stored(keys.groupBy("_key").count().filter("count > 1").select("_key"), "repeated")
+    single = kept.join(repeated, F.col(key) == F.col("_key"), "left_anti")
+    again = kept.join(repeated, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text])
+    return single.unionByName(again)

@@ -156,3 +156,16 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     model = train(split.filter(~F.col("held_out")), "_t", "_l")
     said = predict(split.select("_k", "held_out", "_t"), "_t", model)
     return said.select(F.col("_k").alias(key), "held_out", "lang_pred", "score")
+
+
+def known_language(docs: DataFrame, text: str = "text", lang: str = "lang", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a recognisable language, by a model learned from all of them.
+
+    Rejected are texts without letters, null texts, and those whose best language has a probability below ``min_score``.
+    Without any row to learn from nothing can be judged, and rows with a letter stay.
+    """
+    model = train(docs.select(F.col(text).alias("_t"), F.col(lang).cast("string").alias("_l")), "_t", "_l")
+    if not model.languages:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
+    judged = predict(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")), "_t", model)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
