@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.bindings.registry import Tables, day, query, rounded
+from shelfmark.bindings.registry import Tables, day, query
 from shelfmark.bindings.texts import SQL_SEPARATORS
 from shelfmark.functions import text as X
 from shelfmark.operators.aggregate import rating_distribution
 from shelfmark.operators.project import exploded
-from shelfmark.session import scratch_path, spread
+from shelfmark.session import scratch_path
 from shelfmark.sinks import writers as W
 from shelfmark.sources import readers as S
 
@@ -22,6 +22,7 @@ SELECT p_partkey, p_name || chr(10) || '"' || p_brand || '", x' AS name,
        p_retailprice
 FROM part""")
 def read_catalog_csv(t: Tables) -> DataFrame:
+    # The second half has its columns in another order.
     kind = F.col("p_type")
     texts = t.part.select(
         "p_partkey",
@@ -31,23 +32,28 @@ def read_catalog_csv(t: Tables) -> DataFrame:
         .when(kind == "SMALL", "na").otherwise(kind).alias("type"),
         "p_retailprice",
     )
-    path = scratch_path(t.spark, "catalog_csv")
-    texts.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-    return S.read_catalog_csv(t.spark, path, texts.schema)
+    paths = [scratch_path(t.spark, "catalog_csv") for _ in range(2)]
+    for i, path in enumerate(paths):
+        half = texts.filter(F.col("p_partkey") % 2 == i).select(texts.columns[::1 - 2 * i])
+        half.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return S.read_catalog_csv(t.spark, paths, texts.schema)
 
 
 @query("read_csv_multi_infer", """
 SELECT o_orderkey, o_totalprice, nullif(o_orderstatus, 'P') AS status, CAST(o_orderdate AS DATE) AS order_date
 FROM orders""")
 def read_csv_multi_infer(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "orders_csv")
+    paths = [scratch_path(t.spark, "orders_csv") for _ in range(2)]
     status = F.col("o_orderstatus")
     texts = t.orders.select(
         "o_orderkey", "o_totalprice", F.when(status == "P", "NA").otherwise(status).alias("status"),
         day("o_orderdate").alias("order_date"),
     )
-    W.write_csv_chunked(texts, path, chunk_size=4000)
-    return S.read_csv_multi(t.spark, [path]).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    for i, path in enumerate(paths):
+        half = texts.filter(F.col("o_orderkey") % 2 == i).select(texts.columns[::1 - 2 * i])
+        W.write_csv_chunked(half, path, chunk_size=4000)
+    read = S.read_csv_multi(t.spark, paths, infer=True).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    return read.select("o_orderkey", "o_totalprice", "status", "order_date")
 
 
 @query("read_ndjson", "SELECT conv_id, turn, role, text FROM conversations")
@@ -56,11 +62,14 @@ def read_ndjson(t: Tables) -> DataFrame:
     return S.read_ndjson(t.spark, path, t.conversations.schema).drop(S.CORRUPT)
 
 
-@query("read_features_parquet", """
-SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS size FROM embeddings""")
+ELEMENTS = """
+SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim, unnest(embedding) AS value FROM embeddings"""
+
+
+@query("read_features_parquet", ELEMENTS)
 def read_features_parquet(t: Tables) -> DataFrame:
-    vectors = S.read_features_parquet(t.spark, t.embeddings.inputFiles())
-    return vectors.select("vec_id", "label", F.size("embedding").alias("size"))
+    vectors = S.read_features_parquet(t.spark, t.path("embeddings"))
+    return vectors.select("vec_id", "label", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query("read_stopwords", f"""
@@ -69,7 +78,7 @@ SELECT DISTINCT lang, word FROM (
 WHERE word <> ''""")
 def read_stopwords(t: Tables) -> DataFrame:
     # One list per language: all its words.
-    words = exploded(spread(t.documents), ["lang"], X.split_tokens(F.col("text")), "word")
+    words = exploded(t.documents, ["lang"], X.split_tokens(F.col("text")), "word")
     path = scratch_path(t.spark, "word_lists")
     words.distinct().write.partitionBy("lang").text(path)
     return S.read_stopwords(t.spark, path)
@@ -114,20 +123,14 @@ def write_result_csv(t: Tables) -> DataFrame:
 
 
 @query("write_ndjson", """
-SELECT event_id, user_id, event_type, value, props, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events""")
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events""")
 def write_ndjson(t: Tables) -> DataFrame:
     rows = t.events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     path = W.write_ndjson(rows, scratch_path(t.spark, "events_ndjson"))
     return S.read_ndjson(t.spark, path, rows.schema).drop(S.CORRUPT)
 
 
-@query("write_features_parquet", """
-SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS size,
-       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total
-FROM embeddings""")
+@query("write_features_parquet", ELEMENTS)
 def write_features_parquet(t: Tables) -> DataFrame:
     path = W.write_features_parquet(t.embeddings, scratch_path(t.spark, "vectors"))
-    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
-    return S.read_features_parquet(t.spark, path).select(
-        "vec_id", "label", F.size("embedding").alias("size"), rounded(total).alias("total")
-    )
+    return S.read_features_parquet(t.spark, path).select("vec_id", "label", F.posexplode("embedding").alias("dim", "value"))

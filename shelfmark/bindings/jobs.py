@@ -25,18 +25,21 @@ SELECT user_id, event_id, event_type, value, props FROM (
   FROM events)
 WHERE pos = 1""")
 def ingest_events(t: Tables) -> DataFrame:
-    # Two drops, one run after each, and one more run that finds nothing new.
+    # Two drops, one run after each, one more run that finds nothing new, and one with a new checkpoint over the
+    # same target. Each drop also has an unreadable line and records without a key.
     rows = t.events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     root = scratch_path(t.spark, "ingest")
     first = F.col("value") >= 10
-    for part in (rows.filter(first), rows.filter(~first), None):
+    for part, checkpoint in ((rows.filter(first), "a"), (rows.filter(~first), "a"), (None, "a"), (None, "b")):
         if part is not None:
             write_ndjson(part, f"{root}/drops")
+            write_ndjson(part.filter("event_id % 50 = 0").withColumn("user_id", F.lit(None).cast("bigint")), f"{root}/drops")
+            part.limit(1).select(F.lit("{not a record")).write.mode("append").text(f"{root}/drops")
         ingest_increment(
-            t.spark, f"{root}/drops", f"{root}/held", f"{root}/checkpoint", rows.schema,
-            "user_id", [F.asc("ts"), F.asc("event_id")],
+            t.spark, f"{root}/drops", f"{root}/held", f"{root}/checkpoint_{checkpoint}", rows.schema,
+            "user_id", [F.asc("ts"), F.asc("event_id")], quarantine=f"{root}/quarantine",
         )
-    held = read_ingested(t.spark, f"{root}/held")
+    held = read_ingested(t.spark, f"{root}/held", rows.schema)
     return held.select("user_id", "event_id", "event_type", "value", "props")
 
 

@@ -67,10 +67,8 @@ SELECT label, dim_rank, dim, round(mean, 6) AS mean, CAST(pos AS INTEGER) AS ite
 FROM ranked WHERE pos <= 3""")
 def top_items_per_dim_per_cluster(t: Tables) -> DataFrame:
     means = A.mean_vector(t.embeddings, "embedding", ["label"])
-    top = R.top_items_per_dim_per_cluster(
-        t.embeddings, means, "vec_id", "embedding", "label", clusters=10
-    )
-    return top.withColumn("mean", rounded("mean"))
+    top = R.top_items_per_dim_per_cluster(t.embeddings, means, "vec_id", "embedding", "label")
+    return top.select("label", "dim_rank", "dim", rounded("mean").alias("mean"), "item_rank", "vec_id", "value")
 
 
 @query("sort_by_score", """

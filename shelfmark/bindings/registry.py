@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.session import apply_settings
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,15 +20,22 @@ class Tables:
         self.spark = spark
         self._folder = folder
 
+    def path(self, name: str) -> str:
+        return f"{self._folder}/{name}.parquet"
+
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(self.path(name))
 
 
 def query(name: str, sql: str | None = None):
     """Register ``f(tables) -> DataFrame`` as a query, with SQL unless it has none."""
 
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            apply_settings(spark)  # also where the session was made without them
+            return f(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f

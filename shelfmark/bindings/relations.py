@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.bindings.registry import Tables, query, rounded, sql_list
+from shelfmark.bindings.registry import Tables, query, sql_list
 from shelfmark.bindings.texts import KEPT_WORDS, SQL_SEPARATORS, WORDS, analysed, document_words
 from shelfmark.functions import text as X
 from shelfmark.functions.wordlists import ENGLISH_STOPWORDS
@@ -56,8 +56,7 @@ SELECT word, count(*) AS count FROM words WHERE word NOT IN ({sql_list(ENGLISH_S
 def anti_join_stopwords(t: Tables) -> DataFrame:
     # Counted first: the list is then met once per distinct word.
     counts = word_counts(document_words(t), "words")
-    stop = t.spark.createDataFrame([(w,) for w in ENGLISH_STOPWORDS], "word string")
-    return J.anti_join_stopwords(counts, stop)
+    return J.anti_join_stopwords(counts, ENGLISH_STOPWORDS)
 
 
 @query("anti_join_pending", """
@@ -73,14 +72,13 @@ def semi_join_available(t: Tables) -> DataFrame:
 
 
 @query("embedding_or_zero", """
-SELECT doc_id, CAST(coalesce(len(embedding), 64) AS INTEGER) AS size,
-       coalesce(round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6), 0.0) AS total
+SELECT doc_id, CAST(unnest(range(64)) AS INTEGER) AS dim,
+       unnest(coalesce(embedding, list_transform(range(64), lambda x: CAST(0 AS FLOAT)))) AS value
 FROM documents LEFT JOIN embeddings ON doc_id = vec_id""")
 def embedding_or_zero(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
     filled = J.embedding_or_zero(t.documents.select("doc_id"), vectors, "doc_id", "embedding", 64)
-    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
-    return filled.select("doc_id", F.size("embedding").alias("size"), rounded(total).alias("total"))
+    return filled.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query("id_frontier", """
@@ -123,18 +121,19 @@ def union_by_name(t: Tables) -> DataFrame:
 
 
 @query("merge_daily", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice + 1 END AS score, o_orderstatus,
-       CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority
+SELECT o_orderkey,
+       CASE WHEN o_orderstatus <> 'F' THEN o_totalprice + 1 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 7 ELSE o_totalprice END AS score,
+       o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority
 FROM orders""")
 def merge_orders(t: Tables) -> DataFrame:
-    # Pending orders are in both halves; the new half has a raised score and no priority.
+    # Pending orders are in both halves; the new half has a raised score and no priority. A third of the old half
+    # is there twice, once with a raised score.
     status = F.col("o_orderstatus")
     old = t.orders.filter(status != "O").select(
         "o_orderkey", F.col("o_totalprice").alias("score"), "o_orderstatus", "o_orderpriority"
     )
+    again = old.filter("o_orderkey % 3 = 0").withColumn("score", F.col("score") + 7)
     new = t.orders.filter(status != "F").select(
         "o_orderkey", (F.col("o_totalprice") + 1).alias("score"), "o_orderstatus"
     )
-    return merge_daily(old, new, "o_orderkey", "score")
-
-
+    return merge_daily(old.union(again), new, "o_orderkey", "score")

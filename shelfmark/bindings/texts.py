@@ -11,7 +11,6 @@ from shelfmark.functions.wordlists import ANALYSIS_STOPWORDS, ENGLISH_STOPWORDS
 from shelfmark.operators import text as O
 from shelfmark.operators.aggregate import word_counts
 from shelfmark.schema import VOCABULARY_SIZE
-from shelfmark.session import spread
 
 
 # The separators of a token, written out for a regex engine whose ``\\s`` is ASCII only.
@@ -38,17 +37,27 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 weighted AS (
   SELECT doc_id, word, tf * ln(CAST(m + 1 AS DOUBLE) / (df + 1)) AS tfidf FROM tf JOIN df USING (word), total)"""
 
-_LISTED = f"t NOT IN ({_STOP})"
-PROCESSED = " ".join([
-    f"array_to_string(list_filter(regexp_split_to_array(lower(text), '{SQL_SEPARATORS}'),",
-    f"lambda t: length(t) >= {X.MIN_TOKEN_LENGTH}",
-    *(f"AND NOT regexp_matches(t, '{pattern}')" for pattern in X.TOKEN_RULES.values()),
-    f"AND {_LISTED}), ' ')",
-])
+# The token rules, written out here and not taken from the operators.
+_DIGITS = (
+    r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
+    r"\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}"
+    r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}"
+    r"\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+)
+_RULE = f"""CASE
+  WHEN length(t) < 3 OR regexp_full_match(t, '[{_DIGITS}]+') THEN 'short_or_digit'
+  WHEN regexp_full_match(t, '[a-zA-Z]*\\p{{Nd}}+[a-zA-Z]*') THEN 'alnum'
+  WHEN regexp_full_match(t, '\\p{{Nd}}+[a-zA-Z]+') THEN 'unit'
+  WHEN regexp_full_match(t, '\\p{{Nd}}{{1,2}}(am|pm)') THEN 'clock'
+  WHEN regexp_full_match(t, '\\p{{Nd}}+') THEN 'number'
+  WHEN regexp_full_match(t, '[a-zA-Z0-9]*[^\\p{{L}}\\p{{N}}_\\s][a-zA-Z0-9]*') THEN 'special'
+  WHEN t IN ({_STOP}) THEN 'stopword' ELSE 'keep' END"""
+PROCESSED = f"""array_to_string(list_filter(
+  regexp_split_to_array(lower(text), '{SQL_SEPARATORS}'), lambda t: {_RULE} = 'keep'), ' ')"""
 
 
 def document_texts(t: Tables) -> DataFrame:
-    return spread(t.documents.select("doc_id", "text"))
+    return t.documents.select("doc_id", "text")
 
 
 def document_words(t: Tables) -> DataFrame:
@@ -70,10 +79,7 @@ def token_filter(t: Tables) -> DataFrame:
 
 @query("token_rule_audit", f"""
 WITH tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '{SQL_SEPARATORS}')) AS t FROM documents)
-SELECT CASE WHEN length(t) < {X.MIN_TOKEN_LENGTH} THEN 'short_or_digit'
-       {" ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in X.TOKEN_RULES.items())}
-       WHEN t IN ({_STOP}) THEN '{X.STOPWORD_RULE}' ELSE '{X.KEEP}' END AS rule,
-       count(*) AS tokens
+SELECT {_RULE} AS rule, count(*) AS tokens
 FROM tokens GROUP BY 1""")
 def token_rule_audit(t: Tables) -> DataFrame:
     return O.token_rule_audit(document_texts(t), "text", ENGLISH_STOPWORDS)
@@ -90,11 +96,13 @@ def tokenize(t: Tables) -> DataFrame:
 
 
 @query("remove_stopwords", f"""
-WITH {KEPT_WORDS}
-SELECT doc_id, count(word) AS words FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id""")
+WITH {KEPT_WORDS},
+lists AS (SELECT doc_id, list(word ORDER BY word) AS kept FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(lists.kept, ' '), '') AS kept FROM documents LEFT JOIN lists USING (doc_id)""")
 def remove_stopwords(t: Tables) -> DataFrame:
+    # The words themselves, in alphabetical order.
     kept = O.remove_stopwords(document_words(t), "words", "kept")
-    return kept.select("doc_id", F.size("kept").cast("bigint").alias("words"))
+    return kept.select("doc_id", F.array_join(F.array_sort("kept"), " ").alias("kept"))
 
 
 @query("word_counts", f"WITH {KEPT_WORDS} SELECT word, count(*) AS count FROM kept GROUP BY word")

@@ -23,17 +23,13 @@ def mean_vector_per_cluster(t: Tables) -> DataFrame:
 
 
 @query("assemble_vector", """
-SELECT l_orderkey, l_linenumber, 4 AS size,
-       round(sqrt(l_quantity * l_quantity + l_extendedprice * l_extendedprice + l_discount * l_discount
-                  + l_tax * l_tax), 4) AS norm
+SELECT l_orderkey, l_linenumber, unnest([0, 1, 2, 3]) AS dim,
+       unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value
 FROM lineitem""")
 def assemble_vector(t: Tables) -> DataFrame:
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    values = vector_to_array("features")
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
-    return V.assemble_vector(t.lineitem, columns).select(
-        "l_orderkey", "l_linenumber", F.size(values).alias("size"), rounded(F.sqrt(squares), 4).alias("norm")
-    )
+    assembled = V.assemble_vector(t.lineitem, columns)
+    return assembled.select("l_orderkey", "l_linenumber", F.posexplode(vector_to_array("features")).alias("dim", "value"))
 
 
 @query("kmeans_assign")

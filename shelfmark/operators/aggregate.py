@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,41 +76,40 @@ def nonconstant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix of the non-constant columns as rows ``(a, b, r)``, in one pass.
+    """Pearson matrix of the non-constant columns as rows ``(a, b, r)`` (runs two jobs).
 
-    Each row is turned into one short row per pair of columns (not of rows), and one aggregation
-    over them serves any number of columns; pairs are reduced in place, so the shuffle carries one
-    row per pair and task. A pair uses the rows that have both values. A constant column has no
-    spread and drops out here, so no column list passes through the driver.
+    The first pass takes the columns' means and extremes. The second makes one vector per row, of centred values, their
+    squares and marks for values that are there, and sums its products with itself (a Gram matrix), so a
+    row stays one row however many columns there are, and what is merged has the size of the matrix. A pair uses the
+    rows that have both values. A constant column drops out, as does a pair that is constant where both are there.
     """
-    values = F.array(*(F.col(c).cast("double") for c in columns))
-    pairs = F.array(*(
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-        for i, j in combinations_with_replacement(range(len(columns)), 2)
-    ))
-    short = df.select(values.alias("_v")).select("_v", F.inline(pairs))
-    both = short.select(
-        "i", "j", F.get("_v", "i").alias("x"), F.get("_v", "j").alias("y")
-    ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    spread = both.groupBy("i", "j").agg(
-        F.covar_samp("x", "y").alias("_xy"),
-        F.stddev_samp("x").alias("_x"),
-        F.stddev_samp("y").alias("_y"),
-    )
-    exact = F.try_divide(F.col("_xy"), F.col("_x") * F.col("_y"))
-    r = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), exact)))
-    half = spread.filter((F.col("_x") > 0) & (F.col("_y") > 0)).select("i", "j", r.alias("r"))
-    names = F.array(*map(F.lit, columns))
-
-    def entry(a: str, b: str) -> Column:
-        return F.struct(
-            F.get(names, F.col(a)).alias("a"), F.get(names, F.col(b)).alias("b"), F.col("r").alias("r")
-        )
-
-    mirrored = F.when(F.col("i") == F.col("j"), F.array(entry("i", "j"))).otherwise(
-        F.array(entry("i", "j"), entry("j", "i"))
-    )
-    return half.select(F.inline(mirrored))
+    p = len(columns)
+    values = [F.col(c).cast("double") for c in columns]
+    extremes = df.agg(*(f(v) for v in values for f in (F.avg, F.min, F.max))).first()
+    mean, low, high = ([extremes[3 * i + k] for i in range(p)] for k in range(3))
+    used = [i for i in range(p) if low[i] is not None and low[i] < high[i]]
+    spark = df.sparkSession
+    if not used:
+        return spark.createDataFrame([], "a string, b string, r double")
+    m = len(used)
+    centred = [values[i] - F.lit(mean[i]) for i in used]
+    there = [F.when(c.isNotNull(), 1.0).otherwise(0.0) for c in centred]
+    filled = [F.coalesce(c, F.lit(0.0)) for c in centred]
+    rows = df.select(array_to_vector(F.array(*filled, *(f * f for f in filled), *there)).alias("v"))
+    old = MLUtils.convertVectorColumnsFromML(rows, "v")
+    gram = RowMatrix(old).computeGramianMatrix().toArray()
+    x, x2, here = slice(0, m), slice(m, 2 * m), slice(2 * m, 3 * m)
+    n, sums, squares = gram[here, here], gram[x, here], gram[x2, here]
+    cross = n * gram[x, x] - sums * sums.T
+    spread = n * squares - sums**2
+    bound = 1e-12 * n * squares
+    out = []
+    for a in range(m):
+        for b in range(m):
+            if n[a, b] > 1 and spread[a, b] > bound[a, b] and spread[b, a] > bound[b, a]:
+                r = 1.0 if a == b else float(min(1.0, max(-1.0, cross[a, b] / math.sqrt(spread[a, b] * spread[b, a]))))
+                out.append((columns[used[a]], columns[used[b]], r))
+    return spark.createDataFrame(out, "a string, b string, r double")
 
 
 def correlation_bands(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.operators.relate import broadcast_if_bounded
-from shelfmark.schema import CLUSTERS
 
 # Slices of a group in the two-round form of ``top_per_group``.
 TOP_SLICES = 4096
@@ -98,20 +96,18 @@ def top_items_per_dim_per_cluster(
     cluster: str,
     dims: int = 3,
     items: int = 3,
-    clusters: int = CLUSTERS,
 ) -> DataFrame:
     """For the ``dims`` best dimensions of each cluster its ``items`` highest items.
 
-    The best dimensions come as one short array per cluster, ``clusters`` rows in all. They are
-    broadcast (up to the limit for hinted broadcasts), since a shuffle on so few keys would put each
-    cluster into one task; the vectors stay where they are and only short rows go on to the ranking.
+    The best dimensions come as one short array per cluster, which Spark broadcasts while their size allows it;
+    beyond that the join is shuffled, and a hot cluster is split. Only short rows go on to the ranking.
     """
     best = (
         top_dims_per_cluster(means, cluster, dims)
         .groupBy(cluster)
         .agg(F.sort_array(F.collect_list(F.struct("dim_rank", "dim", "mean"))).alias("best"))
     )
-    values = df.join(broadcast_if_bounded(best, clusters), cluster).select(
+    values = df.join(best, cluster).select(
         key,
         cluster,
         F.inline_outer(F.transform(

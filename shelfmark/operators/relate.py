@@ -23,15 +23,9 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if max_rows <= MAX_BROADCAST_ROWS else df
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys of ``df`` once each, for a membership test.
-
-    Grouping also by a hash of the keys gives this step a partitioning of its own. The join then
-    shuffles the short key list once more, and its inputs stay plain shuffles that the adaptive
-    rule can split when the other side has a hot key.
-    """
-    present = drop_nulls_subset(df.select(*keys), keys)
-    return present.select(F.xxhash64(*keys).alias("_hash"), *keys).distinct().select(*keys)
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys that can match; a membership test does not need them distinct."""
+    return drop_nulls_subset(df.select(key), [key])
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -42,28 +36,31 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
 
 
 def left_join_unique(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
-    """Left join with a side that has each key once: cluster labels, or metadata by id."""
+    """Left join with cluster labels, or metadata by id.
+
+    The caller says that ``other`` has each key once; ``assert_unique`` checks it.
+    """
     return df.join(other, on, "left")
 
 
 def semi_join_vocab(df: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
     """Rows whose word is in the vocabulary."""
-    return df.join(distinct_keys(vocab, [word]), word, "left_semi")
+    return df.join(_keys(vocab, word), word, "left_semi")
 
 
-def anti_join_stopwords(df: DataFrame, stopwords: DataFrame, word: str = "word") -> DataFrame:
-    """Rows whose word is not a stopword."""
-    return df.join(distinct_keys(stopwords, [word]), word, "left_anti")
+def anti_join_stopwords(df: DataFrame, stopwords: Sequence[str], word: str = "word") -> DataFrame:
+    """Rows whose word is not in the given list; rows without a word stay. The list is part of the filter: no join."""
+    return df.filter(F.col(word).isNull() | ~F.col(word).isin(*stopwords))
 
 
 def anti_join_pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows still to be worked on: those without an artefact in ``done``."""
-    return df.join(distinct_keys(done, [key]), key, "left_anti")
+    return df.join(_keys(done, key), key, "left_anti")
 
 
 def semi_join_available(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows that have an artefact in ``done``."""
-    return df.join(distinct_keys(done, [key]), key, "left_semi")
+    return df.join(_keys(done, key), key, "left_semi")
 
 
 def embedding_or_zero(

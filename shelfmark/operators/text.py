@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
@@ -14,6 +14,10 @@ from shelfmark.operators.aggregate import count_by, word_counts
 from shelfmark.operators.project import exploded
 from shelfmark.operators.relate import broadcast_if_bounded
 from shelfmark.schema import VOCABULARY_SIZE
+from shelfmark.session import scratch_path
+
+# Words a vocabulary may have; it is ranked in one task and broadcast.
+MAX_VOCABULARY = 100_000
 
 
 def token_filter(df: DataFrame, text: str, out: str, stopwords: Sequence[str]) -> DataFrame:
@@ -69,7 +73,17 @@ def top_vocabulary(df: DataFrame, words: str, size: int = VOCABULARY_SIZE) -> Da
     return word_counts(df, words).limit(size)
 
 
-def _vocabulary_statistics(df: DataFrame, words: str, size: int) -> DataFrame:
+def _term_runs(df: DataFrame, words: str, *keep: str) -> DataFrame:
+    """``keep`` and ``runs``, the distinct words of a row with their counts, written once to the scratch folder.
+
+    Cleaning the texts is the costly part; what needs the words twice reads them from here.
+    """
+    path = scratch_path(df.sparkSession, "term_runs")
+    df.select(*keep, X.term_runs(F.col(words)).alias("runs")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _vocabulary_statistics(runs: Column | str, df: DataFrame, size: int) -> DataFrame:
     """``(word, count, doc_freq, idf)`` of the ``size`` most frequent words, in one pass.
 
     A row adds one entry per distinct word and one without a word; the latter counts the rows,
@@ -79,17 +93,16 @@ def _vocabulary_statistics(df: DataFrame, words: str, size: int) -> DataFrame:
         F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("tf"))
     )
     # Outer, with a filter, for the reason given at ``exploded``.
-    runs = df.select(F.inline_outer(F.concat(row_mark, X.term_runs(F.col(words)))))
-    runs = runs.filter(F.col("tf").isNotNull())
-    stats = runs.groupBy("word").agg(
+    rows = df.select(F.inline_outer(F.concat(row_mark, runs))).filter(F.col("tf").isNotNull())
+    stats = rows.groupBy("word").agg(
         F.sum("tf").alias("count"), F.count(F.lit(1)).alias("doc_freq")
     )
     top = stats.orderBy(F.col("word").isNull().desc(), F.desc("count"), "word")
     # At most size + 1 rows reach this window.
-    rows = F.max(F.when(F.col("word").isNull(), F.col("doc_freq"))).over(Window.partitionBy(F.lit(1)))
+    total = F.max(F.when(F.col("word").isNull(), F.col("doc_freq"))).over(Window.partitionBy(F.lit(1)))
     return (
         top.limit(size + 1)
-        .withColumn("_rows", rows)
+        .withColumn("_rows", total)
         .filter(F.col("word").isNotNull())
         .select(
             "word",
@@ -100,8 +113,10 @@ def _vocabulary_statistics(df: DataFrame, words: str, size: int) -> DataFrame:
     )
 
 
-def _term_rows(df: DataFrame, key: str, words: str) -> DataFrame:
-    return df.select(key, F.inline_outer(X.term_runs(F.col(words)))).filter(F.col("word").isNotNull())
+def _check_size(size: int) -> int:
+    if not 0 < size <= MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary has 1 to {MAX_VOCABULARY} words")
+    return size
 
 
 def term_frequencies(
@@ -109,17 +124,19 @@ def term_frequencies(
 ) -> DataFrame:
     """How often each vocabulary word occurs in each row: ``(key, word, tf)``.
 
-    Rows are counted in place; only the vocabulary itself needs a shuffle.
+    Rows are counted in place, once; only the vocabulary itself needs a shuffle.
     """
-    vocab = top_vocabulary(df, words, size).select("word")
-    counted = _term_rows(df, key, words).join(broadcast_if_bounded(vocab, size), "word")
+    runs = _term_runs(df, words, key)
+    vocab = _vocabulary_statistics(F.col("runs"), runs, _check_size(size)).select("word")
+    counted = runs.select(key, F.inline("runs")).join(broadcast_if_bounded(vocab, size), "word")
     return counted.select(key, "word", "tf")
 
 
 def tfidf(df: DataFrame, key: str, words: str, size: int = VOCABULARY_SIZE) -> DataFrame:
     """TF-IDF of each vocabulary word in each row: tf x ln((rows + 1) / (rows with the word + 1))."""
-    vocab = _vocabulary_statistics(df, words, size).select("word", "idf")
-    weighted = _term_rows(df, key, words).join(broadcast_if_bounded(vocab, size), "word")
+    runs = _term_runs(df, words, key)
+    vocab = _vocabulary_statistics(F.col("runs"), runs, _check_size(size)).select("word", "idf")
+    weighted = runs.select(key, F.inline("runs")).join(broadcast_if_bounded(vocab, size), "word")
     return weighted.select(key, "word", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
@@ -130,7 +147,7 @@ def top_tfidf_terms(
 
     A word has one idf, so its sum is count x idf and no per-row table is needed.
     """
-    scored = _vocabulary_statistics(df, words, size).select(
+    scored = _vocabulary_statistics(X.term_runs(F.col(words)), df, _check_size(size)).select(
         "word", (F.col("count") * F.col("idf")).alias("tfidf_sum")
     )
     return scored.orderBy(F.desc("tfidf_sum"), "word").limit(k)

@@ -42,8 +42,9 @@ def kmeans_assign(
 ) -> DataFrame:
     """Add ``cluster`` by a fitted model, or by one fitted here."""
     fitted = model or kmeans_fit(df, vector, k, seed)
-    features = df.filter(F.col(vector).isNotNull()).withColumn("features", array_to_vector(F.col(vector)))
-    return fitted.transform(features).drop("features")
+    # A column name of its own, so that one named like the model's input stays.
+    features = df.filter(F.col(vector).isNotNull()).withColumn("_features", array_to_vector(F.col(vector)))
+    return fitted.copy().setFeaturesCol("_features").transform(features).drop("_features")
 
 
 def pca_project(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -10,7 +12,7 @@ from shelfmark.operators import aggregate as A
 from shelfmark.operators import rank as R
 from shelfmark.operators.filters import filter_min
 from shelfmark.operators.project import cast_numeric, concat_skip_nulls, floor_bucket, strip_chars
-from shelfmark.operators.relate import assert_unique, left_join_unique, semi_join_available
+from shelfmark.operators.relate import assert_unique, embedding_or_zero, left_join_unique, semi_join_available
 from shelfmark.operators.text import frequent_words
 from shelfmark.operators.vectors import gather_columns, kmeans_assign, pca_project
 from shelfmark.schema import (
@@ -50,16 +52,17 @@ def rating_reports(prepared: DataFrame, rated: DataFrame) -> dict[str, DataFrame
     }
 
 
-def word_report(rated: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
+def word_report(rated: DataFrame, size: int = VOCABULARY_SIZE, stopwords: Sequence[str] | None = None) -> DataFrame:
     """Most frequent words of keywords and filtered text."""
     merged = concat_skip_nulls(rated, "merged_text", "keywords", "processed_text")
-    return frequent_words(merged, "merged_text", size)
+    return frequent_words(merged, "merged_text", size, stopwords)
 
 
 def cluster_reports(
-    clustered: DataFrame, rated: DataFrame, key: str = "id", vector: str = "embedding", k: int = CLUSTERS
+    clustered: DataFrame, rated: DataFrame, key: str = "id", vector: str = "embedding", title: str = "title"
 ) -> dict[str, DataFrame]:
-    """Reports over rows that have ``key``, a vector and ``cluster``."""
+    """Reports over rows that have ``key``, a vector and ``cluster``; items are named by key and title."""
+    titles = rated.select(key, title)
     means = A.mean_vector(clustered, vector)
     cluster_means = A.mean_vector(clustered, vector, ["cluster"])
     meta = left_join_unique(
@@ -68,12 +71,12 @@ def cluster_reports(
     tags = A.tag_counts_per_cluster(meta, "cluster", "genres", "genre")
     return {
         "cluster_sizes": A.cluster_sizes(clustered, "cluster"),
-        "cluster_preview": R.preview_rows(clustered, key, [key, "cluster"]),
+        "cluster_preview": left_join_unique(R.preview_rows(clustered, key, [key, "cluster"]), titles, key),
         "top_dims": R.top_dims(means),
-        "top_items_on_top_dim": R.top_items_on_top_dim(clustered, means, key, vector),
+        "top_items_on_top_dim": left_join_unique(R.top_items_on_top_dim(clustered, means, key, vector), titles, key),
         "top_dims_per_cluster": R.top_dims_per_cluster(cluster_means, "cluster"),
-        "top_items_per_dim": R.top_items_per_dim_per_cluster(
-            clustered, cluster_means, key, vector, "cluster", clusters=k
+        "top_items_per_dim": left_join_unique(
+            R.top_items_per_dim_per_cluster(clustered, cluster_means, key, vector, "cluster"), titles, key
         ),
         "avg_rating_per_cluster": A.avg_bucket_per_cluster(meta, "cluster", "rating_group"),
         "top_genres_per_cluster": R.top_tags_per_cluster(tags, "cluster", "genre"),
@@ -91,16 +94,19 @@ def run_analysis(
     seed: int = CLUSTER_SEED,
     schema: T.StructType | None = None,
     wide_prefix: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
+    stopwords: Sequence[str] | None = None,
+    zero_width: int | None = None,
 ) -> dict[str, str]:
     """All reports over the cleaned table and the stored vectors.
 
     The high rated rows and the clustered vectors feed several reports, so each is written once as
     parquet and read from there; a lost executor costs a re-read, not a re-run. ``schema`` saves the
-    pass that infers the types of the CSV. With ``wide_prefix`` the vectors are columns
+    pass that infers the types of the CSV. ``stopwords`` are left out of the word report, by default those of the analyses. With
+    ``zero_width`` a row without a vector gets a zero vector of that width; else it is in no cluster report. With ``wide_prefix`` the vectors are columns
     ``<prefix>0, <prefix>1, ..`` rather than one array column.
     """
-    prepared = prepare(read_csv_multi(spark, cleaned_csv, schema, multi_line=multi_line))
+    prepared = prepare(read_csv_multi(spark, cleaned_csv, schema, multi_line=multi_line, infer=True))
     high_rated(prepared).write.parquet(f"{out}/high_rated")
     rated = spark.read.parquet(f"{out}/high_rated")
     assert_unique(rated, [key])
@@ -108,19 +114,24 @@ def run_analysis(
     stored = read_features_parquet(spark, vectors)
     if wide_prefix is not None:
         stored = gather_columns(stored, key, wide_prefix, vector)
-    features = semi_join_available(stored, rated, key)
+    if zero_width is None:
+        features = semi_join_available(stored, rated, key)
+    else:
+        features = embedding_or_zero(rated.select(key), stored, key, vector, zero_width)
     write_features_parquet(kmeans_assign(features, vector, k, seed), f"{out}/clustered")
     clustered = spark.read.parquet(f"{out}/clustered")
 
     bounded = {
         **rating_reports(prepared, rated),
-        "frequent_words": word_report(rated),
-        **cluster_reports(clustered, rated, key, vector, k),
+        "frequent_words": word_report(rated, stopwords=stopwords),
+        **cluster_reports(clustered, rated, key, vector),
     }
     paths = {
         name: write_result_csv(report, f"{out}/{name}", single_file=True)
         for name, report in bounded.items()
     }
-    paths["clusters"] = write_result_csv(clustered.select(key, "cluster"), f"{out}/clusters")
+    paths["clusters"] = write_result_csv(
+        left_join_unique(clustered.select(key, "cluster"), rated.select(key, "title"), key), f"{out}/clusters"
+    )
     paths["projection"] = write_result_csv(pca_project(clustered, key, vector), f"{out}/projection")
     return paths

@@ -11,7 +11,7 @@ from shelfmark.functions.wordlists import ENGLISH_STOPWORDS
 from shelfmark.operators.aggregate import null_profile
 from shelfmark.operators.dedup import dedup_keep_first
 from shelfmark.operators.filters import drop_nulls_subset
-from shelfmark.operators.project import concat_fill, date_parts, prefix_path
+from shelfmark.operators.project import concat_fill, date_parts, prefix_path, scrub_newlines
 from shelfmark.operators.text import token_filter
 from shelfmark.schema import CATALOG_SCHEMA, REQUIRED_COLUMNS, ROWS_PER_FILE
 from shelfmark.sinks.writers import write_csv_chunked, write_result_csv
@@ -43,14 +43,15 @@ def run_clean(
     base_url: str,
     chunk_size: int = ROWS_PER_FILE,
     multi_line: bool = True,
+    stopwords: Sequence[str] = tuple(ENGLISH_STOPWORDS),
 ) -> dict[str, str]:
-    """Read, profile, clean, write in chunks, profile what was written."""
+    """Read, profile, clean, write in chunks without line breaks in the fields, profile what was written."""
     catalog = read_catalog_csv(spark, catalog_csv, CATALOG_SCHEMA, multi_line=multi_line)
-    cleaned = clean_catalog(catalog, base_url)
+    cleaned = scrub_newlines(clean_catalog(catalog, base_url, stopwords))
     paths = {
         "profile_before": write_result_csv(null_profile(catalog), f"{out}/profile_before", True),
         "cleaned": write_csv_chunked(cleaned, f"{out}/cleaned", chunk_size, null_value=""),
     }
-    written = read_catalog_csv(spark, paths["cleaned"], cleaned.schema, [""], multi_line)
+    written = read_catalog_csv(spark, paths["cleaned"], cleaned.schema, [""], multi_line=False)
     paths["profile_after"] = write_result_csv(null_profile(written), f"{out}/profile_after", True)
     return paths

@@ -13,7 +13,7 @@ from shelfmark.operators.project import (
     sentinel_to_null,
 )
 from shelfmark.operators.rank import sort_by_score
-from shelfmark.operators.relate import anti_join_pending, union_by_name
+from shelfmark.operators.relate import anti_join_pending, id_frontier, union_by_name
 from shelfmark.schema import (
     CATALOG_SCHEMA,
     MISSING_DATE,
@@ -24,6 +24,7 @@ from shelfmark.schema import (
 )
 from shelfmark.sinks.writers import write_csv_quoteall_sorted
 from shelfmark.sources.readers import CORRUPT, read_catalog_csv, read_ndjson
+from shelfmark.streaming.ingest import ingest_increment, read_ingested
 
 
 def flatten_records(raw: DataFrame) -> DataFrame:
@@ -42,23 +43,52 @@ def content_order(df: DataFrame, *first):
 def merge_daily(old: DataFrame, new: DataFrame, key: str, score: str) -> DataFrame:
     """Old rows and new rows, the new one where both have the key, highest score first.
 
-    ``old`` holds each key once, as an earlier merge leaves it. It is only tested against the keys
-    of ``new``, which is broadcast while the increment is small; only the final sort moves it.
+    A key that repeats in ``old`` or in ``new`` keeps the row with the highest score. Rows are cut to one per key and task
+    before they are shuffled.
     """
     newest = dedup_by_id(new, key, content_order(new, F.col(score).desc_nulls_last()))
-    kept = anti_join_pending(old, newest, key)
+    unmatched = anti_join_pending(old, newest, key)
+    kept = dedup_by_id(unmatched, key, content_order(unmatched, F.col(score).desc_nulls_last()))
     return sort_by_score(union_by_name(kept, newest), score, key)
 
 
+def write_catalog(merged: DataFrame, path: str) -> str:
+    """The catalogue as sorted CSV without line breaks in its fields, so that it can be read in parallel."""
+    return write_csv_quoteall_sorted(scrub_newlines(merged), path, "vote_count", "id")
+
+
 def run_harvest(
     spark: SparkSession, old_csv: str | list[str], drops: str | list[str], out: str, multi_line: bool = True
 ) -> str:
     """Merge NDJSON drops into a CSV catalogue; unreadable records go next to it.
 
-    ``multi_line=False`` is for an old catalogue without line breaks in its fields.
+    ``multi_line=False`` is for an old catalogue without line breaks in its fields, such as this job writes.
     """
     good, bad = quarantine_missing(read_ndjson(spark, drops, RAW_SCHEMA), "id", CORRUPT)
     bad.write.mode("error").json(f"{out}/quarantine")
     old = read_catalog_csv(spark, old_csv, CATALOG_SCHEMA, multi_line=multi_line)
     merged = merge_daily(old, flatten_records(good), "id", "vote_count")
-    return write_csv_quoteall_sorted(merged, f"{out}/catalog", "vote_count", "id")
+    return write_catalog(merged, f"{out}/catalog")
+
+
+def run_increment(
+    spark: SparkSession, old_csv: str | list[str], drops: str, state: str, out: str, latest: int | None = None, multi_line: bool = True
+) -> dict[str, str]:
+    """One incremental run: take the new drops in, flatten all that is held, merge it, and list the ids still to fetch.
+
+    ``state`` keeps what was taken in, the checkpoint and the quarantine from run to run. With ``latest``, the highest id
+    there is upstream, the ids above the catalogue's highest one that no record was held for go to ``out/pending``.
+    """
+    held_path = f"{state}/held"
+    ingest_increment(
+        spark, drops, held_path, f"{state}/checkpoint", RAW_SCHEMA, "id", [F.col("vote_count").desc_nulls_last()],
+        quarantine=f"{state}/quarantine",
+    )
+    held = read_ingested(spark, held_path, RAW_SCHEMA)
+    old = read_catalog_csv(spark, old_csv, CATALOG_SCHEMA, multi_line=multi_line)
+    paths = {"catalog": write_catalog(merge_daily(old, flatten_records(held), "id", "vote_count"), f"{out}/catalog")}
+    if latest is not None:
+        pending = id_frontier(old, "id", latest, done=held.select("id"))
+        pending.write.json(f"{out}/pending")
+        paths["pending"] = f"{out}/pending"
+    return paths

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Skewed joins are split by map-output blocks at run time, which stays exact even when the hot
 # rows are identical copies; a content-based salt could not spread those.
@@ -28,27 +27,18 @@ def build_session(app_name: str = "shelfmark", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Set ``SESSION_CONF`` on a session made elsewhere; all of them can be changed at run time."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder named by ``spark.checkpoint.dir``.
+    """A fresh path in the folder named by ``spark.checkpoint.dir``, or else below the warehouse folder.
 
-    Only a local session without that setting falls back to a folder of this machine; executors of
-    a cluster could not read each other's files there.
+    On a cluster executors share both.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="shelfmark-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/shelfmark-{uuid.uuid4().hex}/{label}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share heavy per-row work among all cores when a table is a few small files.
-
-    A small file is often one unit of reading, so a costly projection on it runs in one task. A
-    table of many files, or of files large enough to be read in more pieces than there are cores, is
-    left as it is. ``df`` must read files directly, without a shuffle before.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) < cores
-    return df.repartition(cores) if small else df

@@ -25,6 +25,31 @@ def _quoted_csv(spark: SparkSession, multi_line: bool):
     )
 
 
+def _by_name(reader, path: str, schema: T.StructType | None) -> DataFrame:
+    """One file or folder with its columns matched by the names in its header.
+
+    All columns are read as text under the header's own names, which every file of a folder must share (Spark
+    checks that), and are then picked and cast; a value that its type cannot hold is null.
+    """
+    names = reader.csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    read = reader.schema(text).option("enforceSchema", False).csv(path)
+    if schema is None:
+        return read
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return read.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def _all_by_name(new_reader, paths: Paths, schema: T.StructType | None) -> DataFrame:
+    parts = [_by_name(new_reader(), p, schema) for p in ([paths] if isinstance(paths, str) else paths)]
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
 def read_catalog_csv(
     spark: SparkSession,
     paths: Paths,
@@ -32,8 +57,11 @@ def read_catalog_csv(
     null_tokens: Sequence[str] = tuple(CSV_NULL_TOKENS),
     multi_line: bool = True,
 ) -> DataFrame:
-    """Headered CSV with a known schema; every null token becomes null."""
-    df = _quoted_csv(spark, multi_line).schema(schema).csv(paths)
+    """Headered CSV with a known schema, matched by name; every null token becomes null.
+
+    Each of ``paths`` may have the columns in an order of its own, and further columns.
+    """
+    df = _all_by_name(lambda: _quoted_csv(spark, multi_line), paths, schema)
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.when(~F.col(c).isin(*null_tokens), F.col(c)) for c in texts})
 
@@ -44,17 +72,23 @@ def read_csv_multi(
     schema: T.StructType | None = None,
     null_value: str = "NA",
     multi_line: bool = True,
-    sampling_ratio: float = 1.0,
+    infer: bool = False,
 ) -> DataFrame:
-    """Many headered CSV files as one table.
+    """Many headered CSV files as one table, matched by name.
 
-    Without a schema the types are inferred, which costs a pass over the files (over a part of them
-    with ``sampling_ratio``); give a schema for large inputs.
+    Without a schema all columns are text, or with ``infer`` of the types found in a further pass over all files.
     """
-    reader = _quoted_csv(spark, multi_line).option("nullValue", null_value)
-    if schema is not None:
-        return reader.schema(schema).csv(paths)
-    return reader.option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(paths)
+    def reader():
+        return _quoted_csv(spark, multi_line).option("nullValue", null_value)
+
+    if schema is not None or not infer:
+        return _all_by_name(reader, paths, schema)
+    parts = [reader().option("inferSchema", True).csv(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    # One set of types for all: those of the texts taken together.
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part)
+    return first
 
 
 def with_corrupt(schema: T.StructType) -> T.StructType:
@@ -84,3 +118,11 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     lang = F.col("lang") if "lang" in lines.columns else F.col("_metadata.file_name")
     return lines.select(lang.alias("lang"), F.trim("value").alias("word")).filter(F.col("word") != "")
+
+
+def stopword_list(spark: SparkSession, path: str, lang: str, most: int = 100_000) -> list[str]:
+    """The words of one language's list, in order; raises when there are more than ``most`` or none."""
+    words = read_stopwords(spark, path).filter(F.col("lang") == lang).select("word").distinct().limit(most + 1).collect()
+    if not 0 < len(words) <= most:
+        raise ValueError(f"the list for {lang} in {path} has {'too many' if words else 'no'} words")
+    return sorted(r["word"] for r in words)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators.dedup import dedup_by_id, quarantine_missing
-from shelfmark.operators.relate import anti_join_pending, semi_join_available
+from shelfmark.operators.relate import anti_join_pending
 from shelfmark.sources.readers import CORRUPT, with_corrupt
 
-BATCH = "batch"
+RUN, BATCH, BUCKET = "run", "batch", "bucket"
+BUCKETS = 64
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def ingest_increment(
@@ -23,17 +30,18 @@ def ingest_increment(
     schema: T.StructType,
     key: str,
     order: Sequence[Column],
+    quarantine: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
-    quarantine: str | None = None,
     files_per_batch: int | None = None,
 ) -> None:
     """Add the records of all new files in ``drops`` to ``target``, the first record per ``key``.
 
     Runs until the files present at the start are taken, then ends. Each file is taken once; the
-    checkpoint remembers which. What is already held is looked up in ``target`` itself, so no state
-    grows with the number of ids. A micro-batch writes its own ``batch=`` folder and overwrites it
-    when it runs again after a failure, so a restart adds nothing twice. Unreadable records and
-    those without a key go to ``quarantine``, or are left out when none is named.
+    checkpoint remembers which. What is already held is always looked up in ``target`` itself, so no state
+    grows with the number of ids, and a new checkpoint over an existing target adds only what it lacks.
+    A micro-batch writes a folder of its own, named by the query and the batch, and overwrites that one when it runs
+    again after a failure, so a restart adds nothing twice. Folders are split by a hash of the key, and a batch
+    reads only the buckets its keys fall in. Unreadable records and those without a key go to ``quarantine``.
     ``files_per_batch`` cuts a large backlog into several batches.
     """
     reader = spark.readStream.schema(with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT)
@@ -41,25 +49,25 @@ def ingest_increment(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     records = reader.json(drops)
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
-
     def add_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        query_id = json.loads(session.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        own = f"{RUN}={query_id}/{BATCH}={batch_id}"
+        batch = batch.persist()
         good, bad = quarantine_missing(batch, key, CORRUPT)
-        if quarantine is not None:
-            bad.write.mode("overwrite").parquet(f"{quarantine}/{BATCH}={batch_id}")
-        fresh = dedup_by_id(prepare(good.drop(CORRUPT)), key, order)
-        if batch_id > 0:
-            # Computed first: Spark then knows its size, and broadcasts its keys while they are few.
-            fresh = fresh.persist()
-            fresh.count()
-            held = read_ingested(batch.sparkSession, target).filter(F.col(BATCH) < batch_id)
-            # The held side is narrowed to the ids of this batch first; it is the large one.
-            seen = semi_join_available(held.select(key), fresh, key)
-            write(anti_join_pending(fresh, seen, key), batch_id)
-            fresh.unpersist()
+        bad.write.mode("overwrite").parquet(f"{quarantine}/{own}")
+        fresh = dedup_by_id(prepare(good.drop(CORRUPT)), key, order).withColumn(BUCKET, _bucket(key)).persist()
+        held = _held(session, target)
+        if held is not None:
+            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most BUCKETS numbers
+            mine = (F.col(RUN) == query_id) & (F.col(BATCH) == batch_id)
+            seen = held.filter(F.col(BUCKET).isin(touched) & ~mine).select(key)
+            new = anti_join_pending(fresh, seen, key)
         else:
-            write(fresh, batch_id)
+            new = fresh
+        new.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{target}/{own}")
+        fresh.unpersist()
+        batch.unpersist()
 
     query = (
         records.writeStream.foreachBatch(add_batch)
@@ -70,6 +78,17 @@ def ingest_increment(
     query.awaitTermination()
 
 
-def read_ingested(spark: SparkSession, target: str) -> DataFrame:
-    """The catalogue that ``ingest_increment`` has written, with the number of the batch."""
-    return spark.read.parquet(target)
+def _held(spark: SparkSession, target: str) -> DataFrame | None:
+    """What ``target`` holds, or None where there is nothing yet."""
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """The catalogue that ``ingest_increment`` has written; without rows where nothing was taken in yet."""
+    held = _held(spark, target)
+    return spark.createDataFrame([], schema) if held is None else held.drop(RUN, BATCH, BUCKET)

@@ -104,7 +104,7 @@ def test_mean_vector_equals_numpy_over_many_partitions(spark):
 def test_top_items_equal_brute_force(spark):
     df = vectors(spark)
     got = R.top_items_per_dim_per_cluster(
-        df, A.mean_vector(df, "v", ["c"]), "id", "v", "c", dims=2, items=3, clusters=3
+        df, A.mean_vector(df, "v", ["c"]), "id", "v", "c", dims=2, items=3
     ).collect()
     want = set()
     for c in range(3):

@@ -2,11 +2,13 @@
 
 import json
 import uuid
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.session import scratch_path, spread
+from shelfmark.session import scratch_path
 from shelfmark.sinks import writers as W
 from shelfmark.sources import readers as S
 
@@ -54,7 +56,7 @@ def test_catalog_csv_null_tokens(spark, tmp_path):
 def test_csv_inference_over_a_list(spark, tmp_path):
     for name, body in {"a": "x,y\n1,NA\n", "b": "x,y\n2,2.5\n"}.items():
         (tmp_path / f"{name}.csv").write_text(body)
-    df = S.read_csv_multi(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    df = S.read_csv_multi(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], infer=True)
     assert dict(df.dtypes) == {"x": "int", "y": "double"}
     assert sorted(map(tuple, df.collect())) == [(1, None), (2, 2.5)]
 
@@ -103,11 +105,41 @@ def test_scratch_is_in_the_folder_of_the_session(spark):
     assert first.startswith(base) and first != second and uuid.UUID(first.split("shelfmark-")[-1].split("/")[0])
 
 
-def test_spread_only_few_files(spark, tmp_path):
-    few, many = str(tmp_path / "few"), str(tmp_path / "many")
-    spark.range(0, 100, 1, 1).write.parquet(few)
-    spark.range(0, 100, 1, 40).write.parquet(many)
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.read.parquet(few)).rdd.getNumPartitions() == cores
-    df = spark.read.parquet(many)
-    assert spread(df) is df
+def test_scratch_falls_back_to_the_warehouse():
+    conf = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
+    assert scratch_path(SimpleNamespace(conf=conf), "x").startswith("file:/shared/warehouse/_scratch/shelfmark-")
+
+
+SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("keywords", T.StringType()), T.StructField("genres", T.StringType())])
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,genres,keywords\n1,Drama,sea\n")
+    (tmp_path / "b.csv").write_text("more,keywords,id,genres\nx,storm,2,War\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    want = [(1, "sea", "Drama"), (2, "storm", "War")]
+    for read in (S.read_catalog_csv, S.read_csv_multi):
+        for multi_line in (True, False):
+            assert sorted(map(tuple, read(spark, paths, SCHEMA, multi_line=multi_line).collect())) == want
+    (tmp_path / "c.csv").write_text("id,genres\n3,War\n")
+    with pytest.raises(ValueError, match="keywords"):
+        S.read_catalog_csv(spark, str(tmp_path / "c.csv"), SCHEMA)
+
+
+def test_files_of_one_folder_must_share_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,genres,keywords\n1,Drama,sea\n")
+    (tmp_path / "b.csv").write_text("id,keywords,genres\n2,storm,War\n")
+    with pytest.raises(Exception, match="header"):
+        S.read_catalog_csv(spark, str(tmp_path), SCHEMA).collect()
+
+
+def test_a_value_its_type_cannot_hold_is_null(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,genres,keywords\nx,Drama,sea\n")
+    assert S.read_csv_multi(spark, str(tmp_path / "a.csv"), SCHEMA).collect()[0].id is None
+
+
+def test_stopword_list(spark, tmp_path):
+    (tmp_path / "english").write_text("the\na\n")
+    assert S.stopword_list(spark, str(tmp_path), "english") == ["a", "the"]
+    with pytest.raises(ValueError):
+        S.stopword_list(spark, str(tmp_path), "french")

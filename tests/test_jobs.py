@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from shelfmark.plans.analyse import run_analysis
 from shelfmark.plans.clean import run_clean
-from shelfmark.plans.harvest import flatten_records, run_harvest
+from shelfmark.plans.harvest import flatten_records, run_harvest, run_increment
 from shelfmark.schema import CATALOG_SCHEMA, RAW_SCHEMA
 from shelfmark.sources.readers import read_catalog_csv, read_csv_multi, read_ndjson
 from shelfmark.streaming.ingest import ingest_increment, read_ingested
@@ -26,12 +26,12 @@ def drop(folder, name, records):
     (folder / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records) + "\n")
 
 
-def ingest(spark, root):
+def ingest(spark, root, checkpoint="cp"):
     ingest_increment(
-        spark, str(root / "drops"), str(root / "held"), str(root / "cp"), SCHEMA, "id", [F.asc("seq")],
+        spark, str(root / "drops"), str(root / "held"), str(root / checkpoint), SCHEMA, "id", [F.asc("seq")],
         quarantine=str(root / "bad"),
     )
-    return sorted((r.id, r.v) for r in read_ingested(spark, str(root / "held")).collect())
+    return sorted((r.id, r.v) for r in read_ingested(spark, str(root / "held"), SCHEMA).collect())
 
 
 def test_ingest_takes_each_file_once_and_the_first_record_per_id(spark, tmp_path):
@@ -116,7 +116,7 @@ def test_harvest_merges_and_quarantines(spark, jobs):
 def test_clean_then_analyse(spark, jobs):
     root, path = jobs
     paths = run_clean(spark, path, str(root / "clean"), "https://img.example.org")
-    cleaned = read_csv_multi(spark, paths["cleaned"])
+    cleaned = read_csv_multi(spark, paths["cleaned"], infer=True)
     rows = {r.id: r for r in cleaned.collect()}
     # 30 repeats title and date of 2 with fewer votes, 31 has no poster.
     assert set(rows) == set(range(1, 25))
@@ -124,7 +124,7 @@ def test_clean_then_analyse(spark, jobs):
     assert (rows[3].release_year, rows[3].release_month, rows[3].release_day) == (2001, 2, 3)
     assert rows[3].text == "A brave captain sails home One ship sea, storm"
     assert rows[3].processed_text == "brave captain sails home one ship sea storm"
-    profile = {r.column: (r.non_null, r.nulls) for r in read_csv_multi(spark, paths["profile_after"]).collect()}
+    profile = {r.column: (r.non_null, r.nulls) for r in read_csv_multi(spark, paths["profile_after"], infer=True).collect()}
     assert profile["title"] == (24, 0) and profile["homepage"] == (0, 24)
 
     vectors = str(root / "vectors")
@@ -132,11 +132,13 @@ def test_clean_then_analyse(spark, jobs):
         "id", F.array(*(((F.col("id") * (d + 3)) % 7).cast("float") for d in range(4))).alias("embedding")
     ).write.parquet(vectors)
     out = run_analysis(spark, paths["cleaned"], vectors, str(root / "reports"), k=3)
-    report = {name: read_csv_multi(spark, p).collect() for name, p in out.items()}
+    report = {name: read_csv_multi(spark, p, infer=True).collect() for name, p in out.items()}
     rated = {i for i in rows if rows[i].vote_average >= 7}
     assert {r.rating_group: r["count"] for r in report["rating_distribution"]} == {6: 6, 7: 6, 8: 6, 9: 6}
     assert sum(r["count"] for r in report["cluster_sizes"]) == len(rated) == len(report["projection"])
-    assert {r.id for r in report["clusters"]} == rated
+    assert {(r.id, r.title) for r in report["clusters"]} == {(i, rows[i].title) for i in rated}
+    for name in ("cluster_preview", "top_items_on_top_dim", "top_items_per_dim"):
+        assert all(r.title == rows[r.id].title for r in report[name]) and report[name]
     assert {r.word: r["count"] for r in report["frequent_words"]}["captain"] == len(rated)
     assert {r.genre for r in report["top_genres_per_cluster"]} == {"Drama", "Sea"}
     assert len(report["top_dims_per_cluster"]) == 3 * 4
@@ -149,11 +151,30 @@ def test_many_small_batches_give_the_same_catalogue(spark, tmp_path):
         drop(tmp_path / "drops", f"{i}.json", [{"id": j, "seq": i, "v": f"{i}"} for j in range(i + 2)])
     ingest_increment(
         spark, str(tmp_path / "drops"), str(tmp_path / "held"), str(tmp_path / "cp"), SCHEMA, "id",
-        [F.asc("seq")], files_per_batch=1,
+        [F.asc("seq")], quarantine=str(tmp_path / "bad"), files_per_batch=1,
     )
-    held = read_ingested(spark, str(tmp_path / "held")).collect()
-    assert sorted(r.id for r in held) == list(range(5))
-    assert {r.batch for r in held} <= {0, 1, 2, 3}
+    held = read_ingested(spark, str(tmp_path / "held"), SCHEMA)
+    assert sorted(r.id for r in held.collect()) == list(range(5)) and held.columns == SCHEMA.names
+
+
+def test_a_new_checkpoint_over_the_same_target_keeps_what_is_held(spark, tmp_path):
+    drop(tmp_path / "drops", "1.json", [{"id": 1, "seq": 1, "v": "a"}, {"id": 2, "seq": 1, "v": "b"}])
+    ingest(spark, tmp_path)
+    drop(tmp_path / "drops", "2.json", [{"id": 9, "seq": 1, "v": "z"}, {"id": 1, "seq": 0, "v": "again"}])
+    assert ingest(spark, tmp_path, "other") == [(1, "a"), (2, "b"), (9, "z")]
+    assert ingest(spark, tmp_path) == [(1, "a"), (2, "b"), (9, "z")]
+
+
+def test_increment_job(spark, tmp_path):
+    (tmp_path / "old.csv").write_text(",".join(CATALOG_SCHEMA.names) + "\n")
+    drop(tmp_path / "drops", "1.json", [raw(1), raw(2), raw(5)])
+    run = lambda old, out, **more: run_increment(spark, old, str(tmp_path / "drops"), str(tmp_path / "state"), str(tmp_path / out), **more)
+    first = run(str(tmp_path / "old.csv"), "one")
+    drop(tmp_path / "drops", "2.json", [raw(3, title="Third"), "{bad"])
+    second = run(first["catalog"], "two", latest=8, multi_line=False)
+    assert sorted(r.id for r in read_catalog_csv(spark, second["catalog"], CATALOG_SCHEMA).collect()) == [1, 2, 3, 5]
+    assert sorted(r.id for r in spark.read.json(second["pending"]).collect()) == [6, 7, 8]
+    assert spark.read.parquet(str(tmp_path / "state" / "quarantine")).count() == 1
 
 
 def test_command_line(jobs):

@@ -46,7 +46,7 @@ def test_same_rows_as_sql(spark, duck, name):
     names = sorted(df.columns)
     got = [tuple(_plain(r[c]) for c in names) for r in df.collect()]
     relation = duck.sql(ORACLES[name])
-    assert sorted(relation.columns) == names
+    assert list(relation.columns) == df.columns
     types = dict(zip(relation.columns, map(str, relation.types)))
     assert {c: TYPES[t] for c, t in df.dtypes} == types
     quoted = ", ".join(f'"{c}"' for c in names)

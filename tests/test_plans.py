@@ -39,7 +39,7 @@ def test_no_cross_join_and_no_python(plans):
 
 def test_only_bounded_sides_are_broadcast(plans):
     hinted = {name for name, text in plans.items() if "BroadcastExchange" in text}
-    assert hinted == {"term_frequency_vectors", "tfidf", "top_items_per_dim_per_cluster"}
+    assert hinted == {"term_frequency_vectors", "tfidf"}
 
 
 @pytest.mark.parametrize("name", [
@@ -71,3 +71,20 @@ def test_scans_read_only_needed_columns(plans):
 def test_rows_are_counted_without_a_shuffle_of_the_rows(plans):
     # The vocabulary is the only thing grouped; the documents join it where they are.
     assert plans["tfidf"].count("hashpartitioning") == 1
+
+
+def test_a_stop_list_is_a_filter(plans):
+    text = plans["anti_join_stopwords"]
+    assert "Join" not in text and "BroadcastExchange" not in text
+
+
+def test_weights_read_the_words_once(plans):
+    # Both sides of the join read the written runs; no text is cleaned in the plan.
+    for name in ("tfidf", "term_frequency_vectors"):
+        assert "regexp_replace" not in plans[name]
+
+
+def test_queries_set_what_they_need(spark):
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    QUERIES["preview_rows"](spark, SF_DIR)
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"

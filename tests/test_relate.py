@@ -116,3 +116,14 @@ def test_a_hot_key_is_split_over_tasks(spark, small_partitions, join):
     assert "skew=true" in plan
     kept = n // 3 + sum(1 for i in range(n) if i % 3 and i % 2 == 0) + (1 if 7 % 3 else 0)
     assert got == {"left": n, "semi": kept, "anti": n - kept}[join]
+
+
+def test_stopword_filter_keeps_rows_without_a_word(spark):
+    df = spark.createDataFrame([("the",), ("sea",), (None,)], "word string")
+    assert rows(J.anti_join_stopwords(df, ["the", "a"])) == [("sea",), (None,)]
+
+
+def test_merge_dedupes_the_old_catalogue(spark):
+    old = spark.createDataFrame([(1, 5), (1, 9), (2, 3)], "id int, votes int")
+    new = spark.createDataFrame([(3, 4)], "id int, votes int")
+    assert [tuple(r) for r in merge_daily(old, new, "id", "votes").collect()] == [(1, 9), (3, 4), (2, 3)]
