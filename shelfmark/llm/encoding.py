@@ -14,11 +14,13 @@ Pieces that start with white space of their own, and letters outside the Latin r
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import tokenizers
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")  # without U+0130, whose lower case holds a mark
+_OTHER_CASE = re.compile("[\u0130\u0250-\U0010ffff]")
 _INNER_SPACE = re.compile(r" (?:\s|\Z)")
 _GENERATION = 300_000
 _LONGEST_KEPT = 64
@@ -51,13 +53,22 @@ class Encoder:
         self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         self._drops_space = self._library.normalizer is not None
         self._before = "" if self._drops_space else " "
+        self._mark = "" if self._drops_space else "\u0120"  # how the byte-level alphabet writes a space
         self._raw = _Kept(self._whole)
-        self._core = _Kept(lambda word: self._whole(self._before + word))
+        self._model = self._library.model
+        self._core = _Kept(self._letters)
         self._word = _Kept(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        # For ASCII letters (in a word file, lower-case ones) the steps before the model change nothing but the space.
+        if word.isascii() and (not self._drops_space or word.islower()):
+            ids = [t.id for t in self._model.tokenize(self._mark + word)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._whole(self._before + word)
+
     def _piece(self, piece: str) -> bytes:
         letters = _LETTERS.match(piece)
         if letters:
@@ -70,6 +81,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self._drops_space:
+            if text.isascii() or not _OTHER_CASE.search(text):
+                text = text.lower()  # as the file's own normalizer does; more pieces are then the same
             return b"".join(map(self._word.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
         first, *rest = text.split(" ")
         if not _INNER_SPACE.search(text):
