@@ -214,5 +214,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     mark = [F.xxhash64(key, text), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
     own = docs.select(F.struct(mark[0].alias("a"), mark[1].alias("b")).alias("_mark"), F.col(text).alias("_t"))
     found = contamination(own, benchmark, "_mark", "_t").filter("contaminated").select("_mark.a", "_mark.b").distinct()
-    bad = stored(found.withColumnsRenamed({"a": "_a", "b": "_b"}), "contaminated")
-    return docs.join(bad, (mark[0] == F.col("_a")) & (mark[1] == F.col("_b")), "left_anti")
+    bad = stored(found.withColumnsRenamed({"a": "__a", "b": "__b"}), "contaminated")
+    return docs.join(bad, (mark[0] == F.col("__a")) & (mark[1] == F.col("__b")), "left_anti")

@@ -383,10 +383,10 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with the component of any of them that names the key.
     """
     found = jaccard_components(docs, key, text, k, percent)
-    keys = found.select(F.col(key).alias("_key"), (F.col("component_id") == F.col(key)).alias("_first")).filter("_key IS NOT NULL")
-    gone = keys.groupBy("_key").agg(F.max("_first").alias("_stays")).filter("NOT _stays").select("_key")
-    kept = docs.join(stored(gone, "gone"), F.col(key) == F.col("_key"), "left_anti")
-    repeated = stored(keys.groupBy("_key").count().filter("count > 1").select("_key"), "repeated")
-    single = kept.join(repeated, F.col(key) == F.col("_key"), "left_anti")
-    again = kept.join(repeated, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key, text])
+    keys = found.select(F.col(key).alias("__key"), (F.col("component_id") == F.col(key)).alias("__first")).filter("__key IS NOT NULL")
+    gone = keys.groupBy("__key").agg(F.max("__first").alias("__stays")).filter("NOT __stays").select("__key")
+    kept = docs.join(stored(gone, "gone"), F.col(key) == F.col("__key"), "left_anti")
+    repeated = stored(keys.groupBy("__key").count().filter("count > 1").select("__key"), "repeated")
+    single = kept.join(repeated, F.col(key) == F.col("__key"), "left_anti")
+    again = kept.join(repeated, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key, text])
     return single.unionByName(again)

@@ -188,18 +188,20 @@ def mask_secrets(docs: DataFrame, findings: DataFrame, text: str = "text", lengt
     Findings belong to a text by its hash, so all copies of a text are masked alike; a text's own findings are
     merged before the join. Texts without a secret stay as they are.
     """
-    spans = findings.filter("is_secret").groupBy("row_hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "candidate"))).alias("_spans"))
-    spans = stored(spans, "spans")
-    joined = docs.withColumn("row_hash", F.xxhash64(text)).join(spans, "row_hash", "left")
+    spans = findings.filter("is_secret").groupBy("row_hash").agg(
+        F.sort_array(F.collect_set(F.struct("start", "stop", "candidate"))).alias("__spans")
+    )
+    spans = stored(spans.withColumnRenamed("row_hash", "__hash"), "spans")
+    joined = docs.withColumn("__hash", F.xxhash64(text)).join(spans, "__hash", "left")
     # From the last span to the first, so that earlier positions stay valid.
     masked = F.aggregate(
-        F.reverse("_spans"), F.col(text),
+        F.reverse("__spans"), F.col(text),
         lambda t, s: F.when(
             F.substring(t, s["start"] + 1, s["stop"] - s["start"]) == s["candidate"],
             F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(MASK), F.substring(t, s["stop"] + 1, F.length(t))),
         ).otherwise(t),
     )
-    changed = F.col("_spans").isNotNull()
+    changed = F.col("__spans").isNotNull()
     out = joined.withColumn(text, F.when(changed, masked).otherwise(F.col(text)))
     if length in docs.columns:
         out = out.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
