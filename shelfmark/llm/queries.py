@@ -51,9 +51,26 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return idstore.stored_documents(spark, root)
 
 
-@_query("op3_ngram_jaccard_join")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query("op3_ngram_jaccard_join", rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sets AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), '|')) AS same, s FROM shingled),
+reps AS (SELECT same, min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM sets WHERE n > 0 GROUP BY same),
+listed AS (SELECT rep, n, unnest(s) AS x FROM reps),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM listed a JOIN listed b ON a.x = b.x AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+smallest AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, sets.n AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN reps ON sets.n > 0 AND sets.same = reps.same LEFT JOIN smallest ON a = rep""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_components(_table(spark, folder, "documents"), "doc_id", "text", k=3, percent=90)
+    return jaccard_components(_table(spark, folder, "documents"), "doc_id", "text", k=3, percent=90).drop("boundary")
 
 
 @_query("op5_language_id")
@@ -61,7 +78,24 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(_table(spark, folder, "documents"))
 
 
-@_query("op8_benchmark_decontamination")
+@_query("op8_benchmark_decontamination", rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS width,
+         unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS gram
+  FROM items WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS pos, w FROM words, (SELECT DISTINCT width FROM windows) WHERE len(w) >= width),
+found AS (
+  SELECT doc_id, pos, places.width, item_id FROM places JOIN windows ON windows.width = places.width AND gram = array_to_string(w[pos:pos + places.width - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + width)) AS place FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("items")
 
@@ -71,7 +105,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return ring_shards(_table(spark, folder, "documents"), shards=24)
 
 
-@_query("op7_zstd_warc")
+# A SHA-1 is 40 hexadecimal digits; five of them, 20 bits, are four base-32 signs.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+  (CAST('0x' || substr(sha1(payload), CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '')"""
+
+
+@_query("op7_zstd_warc", f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS top FROM payloads)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM largest""")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, folder, "pages"), root)
