@@ -7,18 +7,26 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.session import scratch_path
 
 SLICE = 1 << 16  # numbers of an array that travel together
+BATCH_ROWS = 2000  # rows that Python gets at once; texts are long
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches on the session, which bounds the memory of Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read again: a cut in the lineage that
     survives the loss of executors, and a side of a join that adaptive execution can split."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -26,6 +34,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with ``f`` giving columns (by name) for each batch of rows."""
+    small_batches(df.sparkSession)
     names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,16 +49,17 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], sc
 def sum_arrays(partials: DataFrame, key: str, size: int, combine: np.ufunc = np.add) -> dict:
     """Sums, per value of ``key``, of the arrays of ``size`` numbers given as rows ``(key, slice, salt, counts)``.
 
-    ``counts`` holds little-endian int64; ``combine`` may be another operation than addition. It is done in two rounds,
+    ``counts`` is packed as ``slices`` does it; ``combine`` may be another operation than addition. It is done in two rounds,
     first per salt, so that no task gets the parts of all tasks. Only the sums, of fixed size, reach the driver.
     """
+    small_batches(partials.sparkSession)
     schema = f"{key} string, slice int, salt int, counts binary"
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["counts"].iloc[0]) // 8, dtype="<i8")
-        for part in pdf["counts"]:
-            combine(total, np.frombuffer(part, dtype="<i8"), out=total)
-        return pdf.iloc[:1].assign(counts=[total.tobytes()])
+        total = _unpack(pdf["counts"].iloc[0]).copy()
+        for part in pdf["counts"].iloc[1:]:
+            combine(total, _unpack(part), out=total)
+        return pdf.iloc[:1].assign(counts=[_pack(total)])
 
     rows = partials.select(F.col(key).cast("string").alias(key), "slice", "salt", "counts")
     once = rows.groupBy(key, "slice", "salt").applyInPandas(add, schema)
@@ -57,16 +67,25 @@ def sum_arrays(partials: DataFrame, key: str, size: int, combine: np.ufunc = np.
     sums: dict = {}
     for row in twice.toLocalIterator():
         array = sums.setdefault(row[key], np.zeros(size, dtype=np.int64))
-        part = np.frombuffer(row["counts"], dtype="<i8")
+        part = _unpack(row["counts"])
         array[row["slice"] * SLICE:row["slice"] * SLICE + len(part)] = part
     return sums
 
 
+def _pack(part: np.ndarray) -> bytes:
+    """Little-endian int64, compressed: most counts of a task are small or zero."""
+    return zstandard.ZstdCompressor(level=1).compress(part.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<i8")
+
+
 def slices(array: np.ndarray, salt: int) -> list[tuple[int, int, bytes]]:
     """The rows ``(slice, salt, counts)`` that ``sum_arrays`` takes; slices of zeros are left out."""
     rows = []
     for k in range(0, len(array), SLICE):
         part = array[k:k + SLICE].astype("<i8")
         if part.any():
-            rows.append((k // SLICE, salt % 32, part.tobytes()))
+            rows.append((k // SLICE, salt % 32, _pack(part)))
     return rows

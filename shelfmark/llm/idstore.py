@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import map_batches, stored
+from shelfmark.llm.common import map_batches, small_batches, stored
 from shelfmark.llm.encoding import encoder
 from shelfmark.llm.words import mix
 
@@ -116,6 +116,7 @@ def write_pages(
                         ("keys", pa.list_(pa.int64())), ("copies", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())),
                         ("ids", pa.binary())])
     ddl = "shard int, page int, first_id long, n_ids long, keys array<long>, copies array<int>, lengths array<int>, ids binary"
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(F.asc("k")).sortWithinPartitions("k", "t")
     ordered.mapInArrow(make, ddl).write.option("compression", "zstd").parquet(f"{root}/pages")
 
