@@ -60,9 +60,14 @@ def train_dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
 
 
 def sample_payloads(pages: DataFrame, payload: str, rows: int = 200, most: int = 1 << 14) -> list[bytes]:
-    """At most ``rows`` payloads, each cut to ``most`` characters, to train the dictionary on: a bounded sample."""
-    short = pages.select(F.substring(payload, 1, most).alias("p")).filter(F.length("p") > 0)
-    return [r["p"].encode() for r in short.orderBy(F.xxhash64("p")).limit(rows).collect()]
+    """At most ``rows`` distinct payloads, each cut to ``most`` characters, to train the dictionary on: a bounded sample.
+
+    They are chosen by hash first, so that only hashes of many tasks meet, and ``rows`` payloads are fetched.
+    """
+    hashed = pages.select(F.xxhash64(payload).alias("h"), F.col(payload).alias("p")).filter(F.length("p") > 0)
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
+    found = hashed.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.first(F.substring("p", 1, most)).alias("p"))
+    return [r["p"].encode() for r in found.orderBy("h").collect()]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
