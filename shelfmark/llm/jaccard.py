@@ -18,7 +18,7 @@ The **boundary** is chosen from the sizes of all sets: the one with the least es
 of the sets below it plus list entries and checks of those above.
 
 Sets that are equal are one node, so copies are never paired. The order comes from counts of all
-shingles in ``SLOTS`` hashed counters: a fixed size, so it may be broadcast; the counters only
+shingles in ``SLOTS`` (four million) hashed counters: a fixed size, so it may be broadcast; the counters only
 decide the order, never the result. Nodes carry 128-bit fingerprints, shingles 64-bit hashes.
 """
 
@@ -38,11 +38,11 @@ from shelfmark.llm.common import map_batches, slices, stored, sum_arrays
 from shelfmark.llm.components import components
 from shelfmark.llm.words import BLANKS, groups_by_size, mix, raw_text, shingles, words
 
-SLOTS = 1 << 20
-FILTER = 1 << 25
+SLOTS = 1 << 22
+FILTER = 1 << 24
 BITS = 1024
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def sets_of(texts: pa.Array, k: int):
@@ -131,7 +131,7 @@ def set_table(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
                 bits.append(parity(s))
                 kept.append(s)
                 held += len(s)
-                if held > _CHUNK:
+                if held > _CHUNK // 2:
                     counts += count()
                     kept, held = [], 0
             if at:
@@ -190,7 +190,7 @@ def signature_table(docs: DataFrame, text: str, k: int, percent: int, boundary:
                 m = len(token)
                 held += m
                 parts.append((token, pos, np.full(m, n), np.full(m, a), np.full(m, b)))
-            if held > 200_000:
+            if held > 50_000:
                 yield flush()
                 parts, held = [], 0
         if parts:
@@ -308,7 +308,8 @@ def jaccard_components(
     )
     live = stored(only_passing(entries, "token", filter_of(shared)).join(shared, "token"), "live")
     is_list = F.col("token") % 2 != 0
-    first = F.struct(F.when(is_list, F.col("pos")).otherwise(F.col("n")).alias("by"), "n", "pos", "fp1", "fp2")
+    # Of equal places the smallest fingerprint: the lists of one group then mostly have one head.
+    first = F.struct(F.when(is_list, F.col("pos")).otherwise(F.col("n")).alias("by"), "fp1", "fp2", "n", "pos")
     heads = stored(
         live.groupBy("token").agg(F.min(first).alias("head")).select("token", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("n", "pos", "fp1", "fp2"))),
         "heads",
@@ -361,7 +362,9 @@ def jaccard_components(
         & _may_link(percent, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")),
     ).select(F.col("x.fp1").alias("a1"), F.col("x.fp2").alias("a2"), F.col("y.fp1").alias("b1"), F.col("y.fp2").alias("b2")).distinct()
     more = stored(verified(rest), "more")
-    final = stored(components(links.union(more)), "components")
+    # The components so far stand for their links.
+    so_far = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = stored(components(so_far.union(more)), "components")
 
     of_class = stored(
         classes.join(final, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("component"), "rep"), "of_class"
