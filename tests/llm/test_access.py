@@ -40,7 +40,7 @@ def brute_search(docs, queries, k, terms_of_query):
     out = {}
     for q, t in queries:
         own = Counter(split(t))
-        best = sorted((w for w in own if df[w] >= 2), key=lambda w: (-own[w] * idf[w], hashed[w]))[:terms_of_query]
+        best = sorted((w for w in own if df[w] >= 2), key=lambda w: (-(1 + np.log(own[w])) * idf[w], hashed[w]))[:terms_of_query]
         scores = [(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * s / mean)) for w in best if w in c), d[0]) for c, s, d in zip(counts, size, docs)]
         out[q] = [(round(s, 6), d) for s, d in sorted((x for x in scores if x[0] > 0), key=lambda x: (-round(x[0], 9), x[1] is not None, x[1] or 0))[:k]]
     return out
