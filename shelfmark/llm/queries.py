@@ -126,7 +126,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     queries = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
-    return search(docs, queries, k=10)
+    return search(docs, queries, k=10, query_terms=None, min_docs=1)
 
 
 @_query("op9_preference_format", """

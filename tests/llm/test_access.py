@@ -60,6 +60,30 @@ def test_search_equals_brute_force(spark, rows, monkeypatch, shard, block):
     assert got == {q: x for q, x in brute_search(docs, queries, 7, 16).items() if x}
 
 
+@pytest.mark.parametrize("shard, part, short", [(1 << 14, 1 << 13, 32), (40, 16, 32), (40, 16, 1 << 20)])
+def test_whole_texts_as_queries_equal_brute_force(spark, rows, monkeypatch, shard, part, short):
+    for name, v in (("SHARD_DOCS", shard), ("PART_DOCS", part), ("SHORT", short), ("QUERY_GROUP", 7)):
+        monkeypatch.setattr(S, name, v)
+    docs = [(r[0], r[1]) for r in rows("documents")][:150] + [(9001, "zyxwvut " * 3), (None, "zyxwvut qqq")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = [*docs[::20], (-1, "zyxwvut"), (-2, "qqq"), (-3, "nowhereatall"), (-4, None)]
+    counts = [Counter(split(t)) for _, t in docs]
+    df, mean = Counter(t for c in counts for t in c), sum(map(Counter.total, counts)) / len(docs)
+    idf = {t: np.log1p((len(docs) - f + 0.5) / (f + 0.5)) for t, f in df.items()}
+    want = {}
+    for q, t in asked:
+        own = Counter(split(t))
+        scores = [(round(sum(n * idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, n in own.items() if w in c), 6), i) for (i, _), c in zip(docs, counts)]
+        if found := sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1] is not None, x[1] or 0))[:10]:
+            want[q] = found
+    assert max(len(set(split(t))) for _, t in asked) > 32 and {-1, -2} < set(want)
+    got = defaultdict(list)
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    for r in S.search(d, q, k=10, query_terms=None, min_docs=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((round(r.score, 6), r.doc_id))
+    assert got == want
+
+
 def test_search_edges(spark, edges, edge_rows, empty):
     asked = [(1, "one two"), (2, None), (3, ""), (4, "nowhere"), (5, "the same text here")]
     q = spark.createDataFrame(asked, "query_id long, text string")
