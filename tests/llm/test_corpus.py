@@ -210,6 +210,26 @@ def test_secrets_are_found_and_masked(spark, rows):
         assert masked[i].text == clean and masked[i].n_chars == (n if clean == t else len(clean))
 
 
+def test_secrets_of_other_forms(spark, rows):
+    hexa = hashlib.sha1(b"x").hexdigest()
+    secret = {
+        "API_KEY={}": hexa, "see ?token={}&user=7": hexa, "Authorization: Bearer {}": hexa, "use {} here": "AKIA" + "Q7ZX3M9L" * 2,
+        'password = "{}" it is': "hunter2!x", "secret: '{}'": "ab.12@cd.34", "auth_token={} .": hexa[:20] + "==",
+        "send {} on": "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4",
+    }
+    docs = [(r[0], r[1], r[3], r[4]) for r in rows("documents")]
+    docs += [(8000 + i, form.format(v), "src1", 70) for i, (form, v) in enumerate(secret.items())]
+    docs += [(8100, "SOME_LONG_SETTING_NAME=none", "src1", 9), (8101, "size=" + "4" * 20, "src1", 9)]
+    docs += [(7000 + i, f'Ofthe mat, token = "{hashlib.sha1(bytes([i])).hexdigest()}" an onth.', "src1", 70) for i in range(30)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3)
+    findings = scan_secrets(d).cache()
+    got = {r.doc_id: (r.candidate, r.is_secret) for r in findings.collect()}
+    assert [got.get(8000 + i) for i in range(len(secret))] == [(v, True) for v in secret.values()]
+    assert not got[8100][1] and got[8101] == ("4" * 20, False)
+    masked = {r.doc_id: r.text for r in mask_secrets(d, findings).collect()}
+    assert [masked[8000 + i] for i in range(len(secret))] == [form.format(MASK) for form in secret]
+
+
 def test_secrets_edges(spark, edges, edge_rows, empty):
     findings = scan_secrets(edges)
     assert len(findings.collect()) == sum(len(re.findall(r"[A-Za-z0-9+/=_-]{16,}", r[1] or "")) for r in edge_rows)
