@@ -46,11 +46,19 @@ class _Kept(dict):
 
 
 class Encoder:
-    """``encode(text)``: the ids of a text as little-endian unsigned 32-bit numbers."""
+    """``encode(text)``: the ids of a text as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str):
+    With ``special`` a special token's string in a text becomes its id, as by the library's own setting; otherwise it is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         self._library = tokenizers.Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._library.encode_special_tokens = True  # their strings are cut out before; lower-casing makes no new ones
+        added = {t.content: (i, t) for i, t in self._library.get_added_tokens_decoder().items() if special and t.special}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values()):
+            raise ValueError(f"special tokens that depend on the text around them: {path}")
+        self._special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self._mark_ids = {c: struct.pack("<I", i) for c, (i, _) in added.items()}
         self._drops_space = self._library.normalizer is not None
         self._before = "" if self._drops_space else " "
         self._mark = "" if self._drops_space else "\u0120"  # how the byte-level alphabet writes a space
@@ -80,6 +88,19 @@ class Encoder:
         return self._whole(self._before + piece)
 
     def encode(self, text: str) -> bytes:
+        if self._special is None:
+            return self._ordinary(text)
+        out, at = [], 0
+        for m in self._special.finditer(text):
+            if m.start() > at:
+                out.append(self._ordinary(text[at:m.start()]))
+            out.append(self._mark_ids[m.group()])
+            at = m.end()
+        if at < len(text):
+            out.append(self._ordinary(text[at:]))
+        return b"".join(out)
+
+    def _ordinary(self, text: str) -> bytes:
         if self._drops_space:
             if text.isascii() or not _OTHER_CASE.search(text):
                 text = text.lower()  # as the file's own normalizer does; more pieces are then the same
@@ -98,11 +119,11 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per file and Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One encoder per file, setting and Python worker, kept from task to task."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]

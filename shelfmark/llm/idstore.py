@@ -82,13 +82,13 @@ def numbers(h: np.ndarray, sizes: np.ndarray, bits: np.ndarray, ranks: np.ndarra
 
 
 def write_pages(
-    docs: DataFrame, root: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, page_ids: int = 1 << 18
+    docs: DataFrame, root: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, page_ids: int = 1 << 18, special: bool = False
 ) -> None:
     """Encode every text, append ``end_id`` and write the pages. A null text is empty; rows without a key come first."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, page, first = encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc, shard, page, first = encoder(path, special), TaskContext.get().partitionId(), 0, 0
         keys, copies, lengths, parts, held = [], [], [], [], 0
         last, copy = object(), 0
 

@@ -86,7 +86,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return steps
 
 
-def token_pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int, capacity: int, special: bool = False) -> DataFrame:
     """``(key, piece, start, length, ids, part, number)``: each text's ids and ``end_id``, cut only if longer than ``capacity``.
 
     ``ids`` are little-endian unsigned 32-bit numbers; ``number`` counts the pieces of one length in one task (``part``).
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int, c
     end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen, part = encoder(path), Counter(), TaskContext.get().partitionId()
+        enc, seen, part = encoder(path, special), Counter(), TaskContext.get().partitionId()
         out: list[tuple] = []
         held = 0
 
@@ -159,13 +159,13 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = 2048
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = 2048, special: bool = False
 ) -> DataFrame:
     """``(key, piece, start, length, ids_crc32, sequence_id, offset)`` for every piece of every row.
 
-    A null text is an empty one and has the end id only. Rows with equal or null keys are packed each for
+    A null text is an empty one and has the end id only. ``special`` is that of ``Encoder``. Rows with equal or null keys are packed each for
     itself. Further columns are ignored.
     """
-    pieces = stored(token_pieces(docs, key, text, path, end_id, capacity), "pieces")
+    pieces = stored(token_pieces(docs, key, text, path, end_id, capacity, special), "pieces")
     slim = pieces.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "number")
     return best_fit_pack(slim, capacity).drop("part", "number")

@@ -40,13 +40,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query("op1_best_fit_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack_documents(_table(spark, folder, "documents"), path, end_id=0, capacity=2048)
+    return pack_documents(_table(spark, folder, "documents"), path, end_id=0, capacity=2048, special=True)
 
 
 @_query("op2_token_id_store")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "token_ids")
-    idstore.write_pages(_table(spark, folder, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    idstore.write_pages(_table(spark, folder, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, special=True)
     idstore.build_index(spark, root)
     return idstore.stored_documents(spark, root)
 

@@ -34,6 +34,27 @@ def test_ids_are_those_of_the_whole_text(path, rows, edge_rows):
     assert [t for t in texts if enc.encode(t) != whole(t)] == []
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_special_tokens_as_by_the_plain_call(path, rows):
+    plain, enc, rng = Tokenizer.from_file(path), Encoder(path, special=True), random.Random(5)
+    signs = [*"abC  \n.,'s9é日<|>", "<|endoftext|>", "<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "endoftext", " the"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", *(r[1] or "" for r in rows("documents")[:20])]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    whole = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert [t for t, w in zip(texts, whole) if enc.encode(t) != w] == []
+
+
+def test_queries_take_special_tokens(spark, tmp_path):
+    from shelfmark.llm.queries import QUERIES
+
+    text = "a <|endoftext|> b"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, path, end in (("op1_best_fit_packing", WORD, 0), ("op2_token_id_store", BYTE, 2)):
+        ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, end]
+        for r in QUERIES[name](spark, str(tmp_path)).collect():
+            assert r.ids_crc32 in (zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(np.array(ids[:-1], "<u4").tobytes()))
+
+
 def check_packing(got, want, capacity):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     by = defaultdict(list)
