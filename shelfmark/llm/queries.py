@@ -17,6 +17,7 @@ from shelfmark.llm.preference import ordered_turns, preference_turns, stale_repl
 from shelfmark.llm.search import search
 from shelfmark.llm.secrets import scan_secrets
 from shelfmark.llm.sharding import ring_shards
+from shelfmark.llm.shared_search import rank_documents
 from shelfmark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,24 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_secret_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(_table(spark, folder, "documents"))
+
+
+@_query("op12_shared_ranked_search", rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS (SELECT DISTINCT q, item_id, unnest(w) AS term FROM items),
+size AS (SELECT count(*) AS rows, sum(len(w)) AS length FROM words WHERE len(w) > 0),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, n, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(rows) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+scored AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * rows) // length)))) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term), size GROUP BY q, item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
