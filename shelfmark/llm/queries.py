@@ -14,6 +14,7 @@ from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.language import identify_languages
 from shelfmark.llm.packing import pack_documents
 from shelfmark.llm.preference import ordered_turns, preference_turns, stale_replies
+from shelfmark.llm.prefix_trie import prefix_trie
 from shelfmark.llm.search import search
 from shelfmark.llm.secrets import scan_secrets
 from shelfmark.llm.sharding import ring_shards
@@ -182,3 +183,48 @@ ranked AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+
+# CRC-32 of the decimal digits of a number, half a byte at a time. Its table for four bits.
+_CRC_TABLE = [
+    0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]
+
+
+def _half(state: str) -> str:
+    return f"xor(({state}) >> 4, CAST({_CRC_TABLE}[(({state}) & 15) + 1] AS BIGINT))"
+
+
+_CRC = f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+                           lambda c, b: {_half(_half('xor(c, b)'))}), 4294967295::BIGINT)"""
+
+
+@_query("op13_conversation_prefix_trie", rf"""
+WITH said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS nth, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS said,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, count(*) AS size, {_CRC} % 4 AS h FROM said GROUP BY conv_id),
+taken AS (
+  SELECT c.conv_id, c.h, least(c.h, coalesce(d.size, 0)) AS taken FROM convs c LEFT JOIN convs d ON d.conv_id = c.conv_id - c.conv_id % 20),
+steps AS (
+  SELECT conv_id, nth - h + taken AS depth, said, words FROM said JOIN taken USING (conv_id) WHERE nth > h
+  UNION ALL SELECT t.conv_id, nth, said, words FROM taken t JOIN said s ON s.conv_id = t.conv_id - t.conv_id % 20 AND nth <= h
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+paths AS (
+  SELECT conv_id, depth, words, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, max(depth) OVER (PARTITION BY conv_id) AS total FROM steps),
+nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = total) AS ends FROM paths GROUP BY path),
+family AS (
+  SELECT p.path, p.conv_id, count(*) AS n_children FROM nodes p JOIN nodes c ON c.depth = p.depth + 1 AND starts_with(c.path, p.path) GROUP BY p.path, p.conv_id),
+below AS (
+  SELECT x.path, sum((y.n_convs - 1) * y.words) AS saved, count(*) FILTER (WHERE f.path IS NULL) AS leaves
+  FROM nodes x JOIN nodes y ON starts_with(y.path, x.path) LEFT JOIN family f ON f.path = y.path GROUP BY x.path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN below USING (path) LEFT JOIN family f ON f.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(_table(spark, folder, "conversations"))
