@@ -12,6 +12,7 @@ from shelfmark.llm import idstore, warc
 from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.language import identify_languages
+from shelfmark.llm.language_model import score_texts
 from shelfmark.llm.packing import pack_documents
 from shelfmark.llm.preference import ordered_turns, preference_turns, stale_replies
 from shelfmark.llm.prefix_trie import prefix_trie
@@ -164,6 +165,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(_table(spark, folder, "documents"))
 
 
+@_query("op11_language_model_score")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_table(spark, folder, "documents"))
+
+
 @_query("op12_shared_ranked_search", rf"""
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -26,14 +26,15 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
-def sliced(name: str, array: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A task's array as rows ``PARTS``; slices of zeros are left out."""
-    width = SLICE_BYTES // array.itemsize
+def sliced(name: str, array: np.ndarray, dtype: str | None = None) -> Iterator[pa.RecordBatch]:
+    """A task's array as rows ``PARTS``, with numbers of type ``dtype``; slices of zeros are left out."""
+    dtype = np.dtype(dtype or array.dtype)
+    width = SLICE_BYTES // dtype.itemsize
     for k in range(0, len(array), width):
         part = array[k:k + width]
         if part.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([k // width], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(part)], pa.binary())],
+                [pa.array([name]), pa.array([k // width], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(part.astype(dtype))], pa.binary())],
                 ["name", "slice", "task", "data"])
 
 
