@@ -39,7 +39,7 @@ def ingest_events(t: Tables) -> DataFrame:
             t.spark, f"{root}/drops", f"{root}/held", f"{root}/checkpoint_{checkpoint}", rows.schema,
             "user_id", [F.asc("ts"), F.asc("event_id")], quarantine=f"{root}/quarantine",
         )
-    held = read_ingested(t.spark, f"{root}/held", rows.schema)
+    held = read_ingested(t.spark, f"{root}/held", rows.schema, "user_id")
     return held.select("user_id", "event_id", "event_type", "value", "props")
 
 

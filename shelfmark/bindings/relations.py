@@ -13,7 +13,10 @@ from shelfmark.operators import relate as J
 from shelfmark.operators.aggregate import word_counts
 from shelfmark.operators.dedup import dedup_by_id, dedup_keep_first
 from shelfmark.operators.project import exploded
-from shelfmark.plans.harvest import merge_daily
+from shelfmark.operators.rank import sort_by_score
+from shelfmark.plans.harvest import merge_daily, merge_increment
+from shelfmark.session import scratch_path
+from shelfmark.sinks.keyed import KeyedTable
 
 
 @query("left_join_cluster_label", """
@@ -120,14 +123,16 @@ def union_by_name(t: Tables) -> DataFrame:
     )
 
 
-@query("merge_daily", """
+_MERGED = """
 SELECT o_orderkey,
        CASE WHEN o_orderstatus <> 'F' THEN o_totalprice + 1 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 7 ELSE o_totalprice END AS score,
        o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority
-FROM orders""")
-def merge_orders(t: Tables) -> DataFrame:
-    # Pending orders are in both halves; the new half has a raised score and no priority. A third of the old half
-    # is there twice, once with a raised score.
+FROM orders"""
+
+
+def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pending orders are in both halves; the new half has a raised score and no priority. A third of the old half
+    is there twice, once with a raised score."""
     status = F.col("o_orderstatus")
     old = t.orders.filter(status != "O").select(
         "o_orderkey", F.col("o_totalprice").alias("score"), "o_orderstatus", "o_orderpriority"
@@ -136,4 +141,19 @@ def merge_orders(t: Tables) -> DataFrame:
     new = t.orders.filter(status != "F").select(
         "o_orderkey", (F.col("o_totalprice") + 1).alias("score"), "o_orderstatus"
     )
-    return merge_daily(old.union(again), new, "o_orderkey", "score")
+    return old.union(again), new
+
+
+@query("merge_daily", _MERGED)
+def merge_orders(t: Tables) -> DataFrame:
+    return merge_daily(*_halves(t), "o_orderkey", "score")
+
+
+@query("merge_increment", _MERGED)
+def merge_orders_stored(t: Tables) -> DataFrame:
+    # The same by a stored catalogue: the old half is loaded, the new one merged into it.
+    old, new = _halves(t)
+    table = KeyedTable(t.spark, scratch_path(t.spark, "catalogue"), old.schema, "o_orderkey", "score", bucket_rows=20_000)
+    merge_increment(table, old, "old")
+    merge_increment(table, new.withColumn("o_orderpriority", F.lit(None).cast("string")), "new")
+    return sort_by_score(table.read(), "score", "o_orderkey")

@@ -22,6 +22,7 @@ from shelfmark.schema import (
     SENTINELS,
     TYPED_DEFAULTS,
 )
+from shelfmark.sinks.keyed import KeyedTable
 from shelfmark.sinks.writers import write_csv_quoteall_sorted
 from shelfmark.sources.readers import CORRUPT, read_catalog_csv, read_ndjson
 from shelfmark.streaming.ingest import ingest_increment, read_ingested
@@ -52,6 +53,17 @@ def merge_daily(old: DataFrame, new: DataFrame, key: str, score: str) -> DataFra
     return sort_by_score(union_by_name(kept, newest), score, key)
 
 
+def merge_increment(table: KeyedTable, new: DataFrame, tag: str | None = None) -> None:
+    """``merge_daily`` into a stored catalogue: the newest row per key, in the place of the one held.
+
+    Of a key that repeats in ``new`` the row with the highest score counts. Only folders that hold a key of ``new`` are written
+    anew, so the bytes written follow the increment; ``tag`` names the run, and a run repeated right after itself does nothing. The order by score is made when
+    the table is read (``sort_by_score``), and ``KeyedTable.top`` reads only folders whose scores are high enough.
+    """
+    rows = new.filter(F.col(table.key).isNotNull())
+    table.replace(dedup_by_id(rows, table.key, content_order(rows, F.col(table.score).desc_nulls_last())), tag)
+
+
 def write_catalog(merged: DataFrame, path: str) -> str:
     """The catalogue as sorted CSV without line breaks in its fields, so that it can be read in parallel."""
     return write_csv_quoteall_sorted(scrub_newlines(merged), path, "vote_count", "id")
@@ -84,7 +96,7 @@ def run_increment(
         spark, drops, held_path, f"{state}/checkpoint", RAW_SCHEMA, "id", [F.col("vote_count").desc_nulls_last()],
         quarantine=f"{state}/quarantine",
     )
-    held = read_ingested(spark, held_path, RAW_SCHEMA)
+    held = read_ingested(spark, held_path, RAW_SCHEMA, "id")
     old = read_catalog_csv(spark, old_csv, CATALOG_SCHEMA, multi_line=multi_line)
     paths = {"catalog": write_catalog(merge_daily(old, flatten_records(held), "id", "vote_count"), f"{out}/catalog")}
     if latest is not None:

@@ -5,22 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators.dedup import dedup_by_id, quarantine_missing
-from shelfmark.operators.relate import anti_join_pending
+from shelfmark.sinks.keyed import BUCKET_ROWS, FOLDERS_PER_BUCKET, KeyedTable
 from shelfmark.sources.readers import CORRUPT, with_corrupt
 
-RUN, BATCH, BUCKET = "run", "batch", "bucket"
-BUCKETS = 64
-
-
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
 
 def ingest_increment(
     spark: SparkSession,
@@ -33,15 +24,18 @@ def ingest_increment(
     quarantine: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     files_per_batch: int | None = None,
+    bucket_rows: int = BUCKET_ROWS,
+    folders_per_bucket: int = FOLDERS_PER_BUCKET,
 ) -> None:
     """Add the records of all new files in ``drops`` to ``target``, the first record per ``key``.
 
     Runs until the files present at the start are taken, then ends. Each file is taken once; the
-    checkpoint remembers which. What is already held is always looked up in ``target`` itself, so no state
+    checkpoint remembers which. ``target`` is a ``KeyedTable`` of ``schema`` (or what ``prepare`` makes of it), in buckets of ``bucket_rows`` rows that split
+    when they are full and are written as one again when they have more than ``folders_per_bucket`` folders, so the number of files follows the
+    rows, not the batches. What is already held is looked up there, in the folders that a batch's keys can meet, so no state
     grows with the number of ids, and a new checkpoint over an existing target adds only what it lacks.
-    A micro-batch writes a folder of its own, named by the query and the batch, and overwrites that one when it runs
-    again after a failure, so a restart adds nothing twice. Folders are split by a hash of the key, and a batch
-    reads only the buckets its keys fall in. Unreadable records and those without a key go to ``quarantine``.
+    A batch is one commit, named by the query and the batch; when it runs again after a failure it either finds itself committed or
+    overwrites what it left. Unreadable records and those without a key go to ``quarantine``.
     ``files_per_batch`` cuts a large backlog into several batches.
     """
     reader = spark.readStream.schema(with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT)
@@ -52,22 +46,16 @@ def ingest_increment(
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         query_id = json.loads(session.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        own = f"{RUN}={query_id}/{BATCH}={batch_id}"
         batch = batch.persist()
-        good, bad = quarantine_missing(batch, key, CORRUPT)
-        bad.write.mode("overwrite").parquet(f"{quarantine}/{own}")
-        fresh = dedup_by_id(prepare(good.drop(CORRUPT)), key, order).withColumn(BUCKET, _bucket(key)).persist()
-        held = _held(session, target)
-        if held is not None:
-            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most BUCKETS numbers
-            mine = (F.col(RUN) == query_id) & (F.col(BATCH) == batch_id)
-            seen = held.filter(F.col(BUCKET).isin(touched) & ~mine).select(key)
-            new = anti_join_pending(fresh, seen, key)
-        else:
-            new = fresh
-        new.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{target}/{own}")
-        fresh.unpersist()
-        batch.unpersist()
+        try:
+            good, bad = quarantine_missing(batch, key, CORRUPT)
+            if not bad.isEmpty():
+                bad.write.mode("overwrite").parquet(f"{quarantine}/run={query_id}/batch={batch_id}")
+            first = dedup_by_id(prepare(good.drop(CORRUPT)), key, order)
+            table = KeyedTable(session, target, first.schema, key, bucket_rows=bucket_rows, folders_per_bucket=folders_per_bucket)
+            table.insert(first, tag=f"{query_id}/{batch_id}")
+        finally:
+            batch.unpersist()
 
     query = (
         records.writeStream.foreachBatch(add_batch)
@@ -78,17 +66,6 @@ def ingest_increment(
     query.awaitTermination()
 
 
-def _held(spark: SparkSession, target: str) -> DataFrame | None:
-    """What ``target`` holds, or None where there is nothing yet."""
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def read_ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+def read_ingested(spark: SparkSession, target: str, schema: T.StructType, key: str) -> DataFrame:
     """The catalogue that ``ingest_increment`` has written; without rows where nothing was taken in yet."""
-    held = _held(spark, target)
-    return spark.createDataFrame([], schema) if held is None else held.drop(RUN, BATCH, BUCKET)
+    return KeyedTable(spark, target, schema, key).read()

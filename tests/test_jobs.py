@@ -31,7 +31,7 @@ def ingest(spark, root, checkpoint="cp"):
         spark, str(root / "drops"), str(root / "held"), str(root / checkpoint), SCHEMA, "id", [F.asc("seq")],
         quarantine=str(root / "bad"),
     )
-    return sorted((r.id, r.v) for r in read_ingested(spark, str(root / "held"), SCHEMA).collect())
+    return sorted((r.id, r.v) for r in read_ingested(spark, str(root / "held"), SCHEMA, "id").collect())
 
 
 def test_ingest_takes_each_file_once_and_the_first_record_per_id(spark, tmp_path):
@@ -153,7 +153,7 @@ def test_many_small_batches_give_the_same_catalogue(spark, tmp_path):
         spark, str(tmp_path / "drops"), str(tmp_path / "held"), str(tmp_path / "cp"), SCHEMA, "id",
         [F.asc("seq")], quarantine=str(tmp_path / "bad"), files_per_batch=1,
     )
-    held = read_ingested(spark, str(tmp_path / "held"), SCHEMA)
+    held = read_ingested(spark, str(tmp_path / "held"), SCHEMA, "id")
     assert sorted(r.id for r in held.collect()) == list(range(5)) and held.columns == SCHEMA.names
 
 
