@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.columns import floor_bucket
 from shelfmark.operators.filters import filter_min
@@ -65,6 +67,33 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     ])
 
 
+@dataclass
+class ObservedProfile:
+    """A null profile that the job over the rows itself fills in."""
+
+    columns: list[str]
+    counts: Observation
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``null_profile`` of the rows that went through; to be called after that job."""
+        found = self.counts.get
+        made = [(c, found[f"n{i}"], found["rows"] - found[f"n{i}"]) for i, c in enumerate(self.columns)]
+        return spark.createDataFrame(made, "column string, non_null long, nulls long")
+
+
+def observed_profile(df: DataFrame, empty_is_null: bool = False) -> tuple[DataFrame, ObservedProfile]:
+    """``df``, and its null profile, counted as observed metrics while another job reads or writes it: no scan of its own.
+
+    With ``empty_is_null`` an empty text counts as missing, as in a file that cannot tell them apart. A task that runs
+    again after a lost executor can be counted twice; ``null_profile`` is exact in any case.
+    """
+    profile = ObservedProfile(df.columns, Observation())
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)} if empty_is_null else set()
+    filled = [F.when(F.col(c) != "", F.col(c)) if c in texts else F.col(c) for c in df.columns]
+    counts = [F.count(v).alias(f"n{i}") for i, v in enumerate(filled)]
+    return df.observe(profile.counts, F.count(F.lit(1)).alias("rows"), *counts), profile
+
+
 def nonconstant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Numeric columns whose sample standard deviation is there and positive."""
     totals = df.agg(*(F.stddev_samp(F.col(c)).alias(f"_s{i}") for i, c in enumerate(columns)))

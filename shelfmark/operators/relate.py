@@ -8,8 +8,9 @@ the partition of a hot key (or of null keys) by map-output blocks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import drop_nulls_subset
@@ -38,11 +39,39 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
 def left_join_unique(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
     """Left join with cluster labels, or metadata by id.
 
-    The caller says that ``other`` has each key once; ``assert_unique`` checks it.
+    The caller says that ``other`` has each key once; ``assert_unique`` checks it in a job of its own, ``left_join_checked`` in the job
+    that uses the result.
     """
     return df.join(other, on, "left")
 
 
+@dataclass
+class JoinCheck:
+    """Rows before and after a join, counted by the job that computes all of its result."""
+
+    before: Observation
+    after: Observation
+
+    def verify(self) -> int:
+        """The number of rows of the result; raises when the join has multiplied rows. To be called after that job."""
+        before, after = self.before.get["rows"], self.after.get["rows"]
+        if before != after:
+            raise ValueError(f"the join made {after} rows of {before}: a key is repeated")
+        return after
+
+
+def left_join_checked(df: DataFrame, other: DataFrame, on: str | list[str]) -> tuple[DataFrame, JoinCheck]:
+    """``left_join_unique``, and the check that no row met two: ``check.verify()`` after the job that writes the result.
+
+    Both counts are observed metrics of that job, which costs no further one and leaves the join as it is, with skewed keys
+    split. A task that runs again after a lost executor can be counted twice; where the check then fails though the join is
+    sound, ``assert_unique`` tells.
+    """
+    check = JoinCheck(Observation(), Observation())
+    rows = F.count(F.lit(1)).alias("rows")
+    return left_join_unique(df.observe(check.before, rows), other, on).observe(check.after, rows), check
+
+
 def semi_join_vocab(df: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
     """Rows whose word is in the vocabulary."""
     return df.join(_keys(vocab, word), word, "left_semi")

@@ -12,7 +12,7 @@ from shelfmark.operators import aggregate as A
 from shelfmark.operators import rank as R
 from shelfmark.operators.filters import filter_min
 from shelfmark.operators.project import cast_numeric, concat_skip_nulls, floor_bucket, strip_chars
-from shelfmark.operators.relate import assert_unique, embedding_or_zero, left_join_unique, semi_join_available
+from shelfmark.operators.relate import embedding_or_zero, left_join_checked, left_join_unique, semi_join_available
 from shelfmark.operators.text import frequent_words
 from shelfmark.operators.vectors import gather_columns, kmeans_assign, pca_project
 from shelfmark.schema import (
@@ -109,7 +109,6 @@ def run_analysis(
     prepared = prepare(read_csv_multi(spark, cleaned_csv, schema, multi_line=multi_line, infer=True))
     high_rated(prepared).write.parquet(f"{out}/high_rated")
     rated = spark.read.parquet(f"{out}/high_rated")
-    assert_unique(rated, [key])
 
     stored = read_features_parquet(spark, vectors)
     if wide_prefix is not None:
@@ -121,6 +120,11 @@ def run_analysis(
     write_features_parquet(kmeans_assign(features, vector, k, seed), f"{out}/clustered")
     clustered = spark.read.parquet(f"{out}/clustered")
 
+    # The first job that joins by key checks that the rated rows have each key once.
+    labelled, check = left_join_checked(clustered.select(key, "cluster"), rated.select(key, "title"), key)
+    clusters = write_result_csv(labelled, f"{out}/clusters")
+    check.verify()
+
     bounded = {
         **rating_reports(prepared, rated),
         "frequent_words": word_report(rated, stopwords=stopwords),
@@ -130,8 +134,6 @@ def run_analysis(
         name: write_result_csv(report, f"{out}/{name}", single_file=True)
         for name, report in bounded.items()
     }
-    paths["clusters"] = write_result_csv(
-        left_join_unique(clustered.select(key, "cluster"), rated.select(key, "title"), key), f"{out}/clusters"
-    )
+    paths["clusters"] = clusters
     paths["projection"] = write_result_csv(pca_project(clustered, key, vector), f"{out}/projection")
     return paths

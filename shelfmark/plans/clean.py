@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.wordlists import ENGLISH_STOPWORDS
-from shelfmark.operators.aggregate import null_profile
+from shelfmark.operators.aggregate import observed_profile
 from shelfmark.operators.dedup import dedup_keep_first
 from shelfmark.operators.filters import drop_nulls_subset
 from shelfmark.operators.project import concat_fill, date_parts, prefix_path, scrub_newlines
@@ -45,13 +45,13 @@ def run_clean(
     multi_line: bool = True,
     stopwords: Sequence[str] = tuple(ENGLISH_STOPWORDS),
 ) -> dict[str, str]:
-    """Read, profile, clean, write in chunks without line breaks in the fields, profile what was written."""
-    catalog = read_catalog_csv(spark, catalog_csv, CATALOG_SCHEMA, multi_line=multi_line)
-    cleaned = scrub_newlines(clean_catalog(catalog, base_url, stopwords))
-    paths = {
-        "profile_before": write_result_csv(null_profile(catalog), f"{out}/profile_before", True),
-        "cleaned": write_csv_chunked(cleaned, f"{out}/cleaned", chunk_size, null_value=""),
-    }
-    written = read_catalog_csv(spark, paths["cleaned"], cleaned.schema, [""], multi_line=False)
-    paths["profile_after"] = write_result_csv(null_profile(written), f"{out}/profile_after", True)
+    """Read, clean and write in chunks without line breaks in the fields; the profiles before and after are counted on the way.
+
+    The catalogue is read once, and what was written not at all: both profiles are observed by the job that writes.
+    """
+    catalog, before = observed_profile(read_catalog_csv(spark, catalog_csv, CATALOG_SCHEMA, multi_line=multi_line))
+    cleaned, after = observed_profile(scrub_newlines(clean_catalog(catalog, base_url, stopwords)), empty_is_null=True)
+    paths = {"cleaned": write_csv_chunked(cleaned, f"{out}/cleaned", chunk_size, null_value="")}
+    for name, profile in (("profile_before", before), ("profile_after", after)):
+        paths[name] = write_result_csv(profile.rows(spark), f"{out}/{name}", True)
     return paths

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators.relate import anti_join_pending, semi_join_available
+from shelfmark.sinks.folders import delete, names
 
 DEPTH, VALUE, FOLDER = "_depth", "_value", "_folder"
 BUCKET_ROWS = 1_000_000
@@ -45,21 +46,6 @@ class Part:
         return self.depth, self.value
 
 
-def _path(spark: SparkSession, path: str):
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, own = _path(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(own)] if fs.exists(own) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, own = _path(spark, path)
-    fs.delete(own, True)
-
-
 def _hash(key: str) -> Column:
     return F.xxhash64(key)
 
@@ -81,8 +67,8 @@ class KeyedTable:
 
     def versions(self) -> list[int]:
         """Numbers of the commits whose directories are there, ascending."""
-        names = [n for n in _names(self.spark, f"{self.path}/directory") if n.startswith("v=")]
-        return sorted(int(n[2:]) for n in names if "_SUCCESS" in _names(self.spark, f"{self.path}/directory/{n}"))
+        found = [n for n in names(self.spark, f"{self.path}/directory") if n.startswith("v=")]
+        return sorted(int(n[2:]) for n in found if "_SUCCESS" in names(self.spark, f"{self.path}/directory/{n}"))
 
     def parts(self, version: int | None = None) -> list[Part]:
         """The folders of a commit, the last one by default."""
@@ -227,10 +213,10 @@ class KeyedTable:
         for old in versions[:-1]:
             for p in self.parts(old):
                 if p.folder not in needed:
-                    _delete(self.spark, f"{self.path}/data/{p.folder}")
-            _delete(self.spark, f"{self.path}/directory/v={old}")
+                    delete(self.spark, f"{self.path}/data/{p.folder}")
+            delete(self.spark, f"{self.path}/directory/v={old}")
         used = {f.split("/")[0] for f in needed}
-        for name in _names(self.spark, f"{self.path}/data"):
+        for name in names(self.spark, f"{self.path}/data"):
             if name not in used:
-                _delete(self.spark, f"{self.path}/data/{name}")
+                delete(self.spark, f"{self.path}/data/{name}")
 

@@ -152,3 +152,12 @@ def test_sample_is_repeatable_whatever_the_partitions(spark):
     assert len(first) == 50
     assert first == {r.id for r in R.limit_sample(df.repartition(3), 50, "id").collect()}
     assert first != set(range(50))
+
+
+def test_observed_profile_is_the_profile_of_what_was_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "", None), (2, "x", 0.5), (None, None, None)], "a int, b string, c double").repartition(3)
+    for empty_is_null, want in ((False, [("a", 2, 1), ("b", 2, 1), ("c", 1, 2)]), (True, [("a", 2, 1), ("b", 1, 2), ("c", 1, 2)])):
+        seen, profile = A.observed_profile(df, empty_is_null)
+        seen.write.parquet(str(tmp_path / str(empty_is_null)))
+        assert [tuple(r) for r in profile.rows(spark).collect()] == want
+    assert sorted(map(tuple, A.null_profile(df).collect())) == [("a", 2, 1), ("b", 2, 1), ("c", 1, 2)]

@@ -13,11 +13,24 @@ from shelfmark.sinks import writers as W
 from shelfmark.sources import readers as S
 
 
-def test_chunks_hold_at_most_the_given_rows(spark):
-    df = spark.range(0, 2500, 1, 1)
-    path = W.write_csv_chunked(df, scratch_path(spark, "chunks"), chunk_size=1000)
-    back = S.read_csv_multi(spark, path, df.schema).groupBy(F.col("_metadata.file_name")).count()
-    assert sorted(r["count"] for r in back.collect()) == [500, 1000, 1000]
+@pytest.mark.parametrize("base", [None, "items"])
+def test_chunks_have_exactly_the_given_rows_and_numbers(spark, tmp_path, base):
+    """Tasks of very different sizes, some empty; rows keep their order."""
+    parts = [spark.range(a, b, 1, n) for a, b, n in ((0, 1, 1), (1, 1, 2), (1, 1700, 1), (1700, 2300, 4))]
+    df = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).withColumn("t", F.lit('a "b", c'))
+    path = W.write_csv_chunked(df, str(tmp_path / "out"), chunk_size=500, base=base)
+    files = [tmp_path / "out" / f"items_{n}.csv" for n in range(1, 6)] if base else [f for n in range(1, 6) for f in (tmp_path / "out" / f"chunk={n}").glob("part-*.csv")]
+    assert len(files) == 5
+    ids = [[int(line.split(",")[0]) for line in f.read_text().splitlines()[1:]] for f in files]
+    assert [len(i) for i in ids] == [500] * 4 + [300] and sum(ids, []) == list(range(2300))
+    assert S.read_csv_multi(spark, path, df.schema).filter("t = 'a \"b\", c'").count() == 2300
+
+
+def test_chunks_of_nothing(spark, tmp_path):
+    df = spark.range(0)
+    assert S.read_csv_multi(spark, W.write_csv_chunked(df, str(tmp_path / "none")), df.schema).count() == 0
+    with pytest.raises(ValueError):
+        W.write_csv_chunked(df.withColumnRenamed("id", "chunk"), str(tmp_path / "bad"))
 
 
 def test_sorted_csv_is_in_order_over_its_files_and_quotes_all(spark, tmp_path):
@@ -126,11 +139,43 @@ def test_csv_columns_go_by_name(spark, tmp_path):
         S.read_catalog_csv(spark, str(tmp_path / "c.csv"), SCHEMA)
 
 
-def test_files_of_one_folder_must_share_their_header(spark, tmp_path):
+def test_files_of_one_folder_may_have_several_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,genres,keywords\n1,Drama,sea\n")
     (tmp_path / "b.csv").write_text("id,keywords,genres\n2,storm,War\n")
-    with pytest.raises(Exception, match="header"):
-        S.read_catalog_csv(spark, str(tmp_path), SCHEMA).collect()
+    (tmp_path / "empty.csv").write_text("")
+    assert sorted(map(tuple, S.read_catalog_csv(spark, str(tmp_path), SCHEMA).collect())) == [(1, "sea", "Drama"), (2, "storm", "War")]
+
+
+def test_one_scan_for_each_header(spark, tmp_path):
+    """A thousand files with three headers; whole numbers in some files and others in others."""
+    heads = ["x,y,when", "y,x", 'when,"y",x,extra']
+    for i in range(1000):
+        head = heads[i % 3]
+        values = {"x": str(i), "y": "2.5" if i == 700 else str(i), "when": "2001-02-03", "extra": "" if i == 2 else "t"}
+        (tmp_path / f"{i}.csv").write_text(head + "\n" + ",".join(values[c.strip('"')] for c in head.split(",")) + "\n")
+    df = S.read_csv_multi(spark, str(tmp_path), infer=True)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    assert dict(df.dtypes) == {"x": "int", "y": "double", "when": "date", "extra": "string"}
+    assert (df.count(), df.agg(F.sum("x"), F.count("when"), F.count("extra")).first()[0:]) == (1000, (499500, 667, 332))
+
+
+def test_types_of_texts(spark):
+    columns = {
+        "int": ["1", "-7", None], "bigint": ["1", "3000000000"], "double": ["1", "2.5", "1e-3"], "date": ["2001-02-03"], "timestamp": ["2001-02-03", "2001-02-03 04:05:06"],
+        "boolean": ["true", "False"], "none": [None], "mixed": ["1", "true"], "bad_day": ["2001-02-30"], "suffix": ["1d", "2f"], "blank": ["1", ""], "huge": ["99999999999999999999"],
+    }
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(3)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).repartition(3)
+    kinds = S.infer_types(df)
+    assert {c: k for c, k in kinds.items() if k != "string"} == {**{c: c for c in list(columns)[:6]}, "huge": "double"}
+
+
+def test_header_with_line_break_mark_and_pattern(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffid,"two\nlines"\n1,x\n')
+    (tmp_path / "b.txt").write_text("id\n2\n")
+    assert S.read_csv_multi(spark, str(tmp_path / "*.csv")).columns == ["id", "two\nlines"]
+    with pytest.raises(FileNotFoundError):
+        S.read_csv_multi(spark, str(tmp_path / "absent"))
 
 
 def test_a_value_its_type_cannot_hold_is_null(spark, tmp_path):

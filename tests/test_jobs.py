@@ -186,4 +186,4 @@ def test_command_line(jobs):
         cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=300,
     )
     assert done.returncode == 0, done.stderr[-2000:]
-    assert sum(len(p.read_text().splitlines()) - 1 for p in (out / "cleaned").glob("part-*.csv")) == 24
+    assert sum(len(p.read_text().splitlines()) - 1 for p in (out / "cleaned").glob("chunk=*/part-*.csv")) == 24

@@ -127,3 +127,15 @@ def test_merge_dedupes_the_old_catalogue(spark):
     old = spark.createDataFrame([(1, 5), (1, 9), (2, 3)], "id int, votes int")
     new = spark.createDataFrame([(3, 4)], "id int, votes int")
     assert [tuple(r) for r in merge_daily(old, new, "id", "votes").collect()] == [(1, 9), (3, 4), (2, 3)]
+
+
+def test_a_join_that_multiplies_rows_fails_after_its_job(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    once = spark.createDataFrame([(1, 7), (5, 8)], "k int, w int")
+    joined, check = J.left_join_checked(df, once, "k")
+    joined.write.parquet(str(tmp_path / "once"))
+    assert check.verify() == 3
+    joined, check = J.left_join_checked(df, once.union(once), "k")
+    joined.write.parquet(str(tmp_path / "twice"))
+    with pytest.raises(ValueError, match="4 rows of 3"):
+        check.verify()
