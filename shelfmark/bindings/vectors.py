@@ -10,6 +10,7 @@ from shelfmark.bindings.ranks import DIM_MEANS, LABEL_DIM_MEANS
 from shelfmark.bindings.registry import Tables, query, rounded
 from shelfmark.operators import aggregate as A
 from shelfmark.operators import vectors as V
+from shelfmark.schema import CLUSTER_SEED, CLUSTERS
 
 
 @query("mean_vector", f"SELECT dim, round(mean, 6) AS mean FROM ({DIM_MEANS})")
@@ -32,9 +33,30 @@ def assemble_vector(t: Tables) -> DataFrame:
     return assembled.select("l_orderkey", "l_linenumber", F.posexplode(vector_to_array("features")).alias("dim", "value"))
 
 
-@query("kmeans_assign")
+def _kmeans_sql(k: int, seed: int, rounds: int) -> str:
+    """The same draws and rounds, one common table expression each."""
+    away = "list_aggregate(list_transform(list_zip(v, c.at), lambda p: (p[1] - p[2]) * (p[1] - p[2])), 'sum')"
+    steps = ["x AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"]
+    for draw in range(k):
+        time = f"-ln((CAST('0x' || substr(md5('{seed}:{draw}:' || vec_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+        near = f"SELECT vec_id, v, min({away}) AS away FROM x, d{draw - 1} c GROUP BY vec_id, v" if draw else "SELECT vec_id, v, 1.0 AS away FROM x"
+        won = f"SELECT {draw} AS cluster, v AS at FROM ({near}) WHERE away > 0 ORDER BY {time} / away, CAST(vec_id AS VARCHAR) LIMIT 1"
+        steps.append(f"d{draw} AS MATERIALIZED (" + (f"SELECT * FROM d{draw - 1} UNION ALL " if draw else "") + f"(SELECT * FROM ({won})))")
+    centres = f"d{k - 1}"
+    nearest = lambda c: f"SELECT vec_id, v, cluster FROM (SELECT vec_id, v, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY {away}, cluster) AS pos FROM x, {c} c) WHERE pos = 1"
+    for r in range(rounds):
+        steps.append(f"n{r} AS MATERIALIZED ({nearest(centres)})")
+        steps.append(f"""c{r} AS MATERIALIZED (
+          SELECT cluster, list(mean ORDER BY dim) AS at FROM (
+            SELECT cluster, dim, CAST(sum(CAST(floor(value * {V.FINE} + 0.5) AS BIGINT)) AS DOUBLE) / {V.FINE} / count(*) AS mean
+            FROM (SELECT cluster, unnest(range(len(v))) AS dim, unnest(v) AS value FROM n{r}) GROUP BY cluster, dim) GROUP BY cluster)""")
+        centres = f"c{r}"
+    return f"WITH {', '.join(steps)} SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM ({nearest(centres)})"
+
+
+@query("kmeans_assign", _kmeans_sql(CLUSTERS, CLUSTER_SEED, V.KMEANS_ROUNDS))
 def kmeans_assign(t: Tables) -> DataFrame:
-    return V.kmeans_assign(t.embeddings, "embedding").select("vec_id", "cluster")
+    return V.kmeans_assign(t.embeddings, "embedding", key="vec_id").select("vec_id", "cluster")
 
 
 @query("pca_project")

@@ -117,7 +117,7 @@ def run_analysis(
         features = semi_join_available(stored, rated, key)
     else:
         features = embedding_or_zero(rated.select(key), stored, key, vector, zero_width)
-    write_features_parquet(kmeans_assign(features, vector, k, seed), f"{out}/clustered")
+    write_features_parquet(kmeans_assign(features, vector, k, seed, key=key), f"{out}/clustered")
     clustered = spark.read.parquet(f"{out}/clustered")
 
     # The first job that joins by key checks that the rated rows have each key once.

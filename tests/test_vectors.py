@@ -1,7 +1,11 @@
 """Vector operators against numpy."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import vectors as V
 
@@ -43,6 +47,37 @@ def test_kmeans_default_makes_k_clusters(points):
     assert {r.cluster for r in assigned} <= set(range(5)) and len(assigned) == 5
 
 
+def by_hand(rows, k, seed, rounds):
+    """The draws and rounds of ``kmeans_centres``, row by row."""
+    centres = []
+    for draw in range(k):
+        raced = []
+        for i, v in rows:
+            time = -math.log((int(hashlib.md5(f"{seed}:{draw}:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32)
+            away = min((sum((x - y) ** 2 for x, y in zip(v, c)) for c in centres), default=1.0)
+            if away > 0:
+                raced.append((time / away, str(i), v))
+        centres.append(min(raced)[2])
+    for _ in range(rounds):
+        near = [min(range(k), key=lambda c: (sum((x - y) ** 2 for x, y in zip(v, centres[c])), c)) for _, v in rows]
+        for c in range(k):
+            own = [v for (_, v), n in zip(rows, near) if n == c]
+            if own:
+                centres[c] = [sum(math.floor(x * V.FINE + 0.5) for x in column) / V.FINE / len(own) for column in zip(*own)]
+    return centres
+
+
+def test_kmeans_does_not_depend_on_how_rows_are_dealt(spark):
+    points = RNG.normal(0, 1, (300, 4))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(400 + i, [9.0] * 4) for i in range(50)]
+    df = spark.createDataFrame([*rows, (999, None)], "id int, v array<double>")
+    want = by_hand(rows, 4, 7, 6)
+    for parts in (1, 7, 64):
+        assert V.kmeans_centres(df.repartition(parts, F.rand(parts)), "v", "id", 4, 7, 6) == want
+    assert V.kmeans_centres(df.filter("id >= 400"), "v", "id", 4, 7, 6) == [[9.0] * 4]
+    assert V.kmeans_assign(df.limit(0), "v").count() == 0
+
+
 def test_pca_equals_numpy(points):
     got = {r.id: (r.pc1, r.pc2) for r in V.pca_project(points, "id", "v").collect()}
     centred = POINTS.astype(float) - POINTS.astype(float).mean(axis=0)
