@@ -369,12 +369,17 @@ def jaccard_components(
     of_class = stored(
         classes.join(final, "node", "left").select("fp1", "fp2", F.coalesce("component", "node").alias("component"), "rep"), "of_class"
     )
+    # Where a text without a key is in a component, its node is a hash; the name is the smallest key all the same.
+    unnamed = of_class.filter("rep IS NULL").select("component").distinct()
+    named_anew = of_class.join(unnamed, "component", "left_semi").groupBy("component").agg(F.min("rep").alias("least")).withColumn("anew", F.lit(True))
+    of_class = of_class.join(named_anew, "component", "left").select(
+        "fp1", "fp2", F.when(F.col("anew"), F.col("least")).otherwise(F.col("component")).alias("component"))
     own = rows.select("_id", "n", "fp1", "fp2").join(of_class.withColumnRenamed("fp2", "c2").withColumnRenamed("fp1", "c1"),
                                                      (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")) & (F.col("n") > 0), "left")
     return own.select(
         F.col("_id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "_id").alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"),
         F.lit(boundary).alias("boundary"),
     )
 

@@ -23,7 +23,7 @@ FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
 UNKNOWN = "und"
 _CHUNK = 1 << 20
-_LETTER = np.array([chr(c).isalpha() for c in range(0x30000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -36,7 +36,7 @@ def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
     if joined.count("\0") != len(texts) - 1:
         joined = "\0".join(t.replace("\0", " ") for t in texts).lower()
     codes = np.frombuffer(("\0" + joined + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _LETTER[np.minimum(codes, len(_LETTER) - 1)]
+    letter = _LETTER[codes]
     keep = letter.copy()
     ends = codes == 0
     keep[1:] |= letter[:-1] | ends[1:]

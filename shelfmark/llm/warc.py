@@ -255,5 +255,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def record_digests(records: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of records as ``read_archives`` gives them; the
-    digest and length of a response are taken from its payload."""
-    return records.filter("error IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    digest and length of a response are taken from its payload. A record with an error, or an archive that breaks off, fails the job."""
+    sound = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("damaged archive: "), "error")).cast("bigint"))
+    return records.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -187,6 +187,8 @@ def test_broken_archives_are_told(spark, tmp_path):
     (tmp_path / "y").write_bytes(b"nonsense")
     got = W.read_archives(spark, str(tmp_path)).collect()
     assert sum(r.error is None for r in got) == 1 and len(got) == 8
+    with pytest.raises(Exception, match="damaged archive"):
+        W.record_digests(W.read_archives(spark, str(tmp_path))).collect()
     held = z.compress(b"0123456789" * 5)
     (tmp_path / "z").mkdir()
     with_dict = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(b"0123456789" * 5))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import jaccard as J
 from shelfmark.llm.components import components
 from shelfmark.llm.decontaminate import contamination, without_contaminated
-from shelfmark.llm.language import identify_languages, known_language
+from shelfmark.llm.language import grams, identify_languages, known_language
 from shelfmark.llm.secrets import MASK, coverage, mask_secrets, scan_secrets
 
 
@@ -92,6 +92,20 @@ def test_jaccard_edges(spark, edges, edge_rows, empty):
     assert sum(r.doc_id is None for r in kept.collect()) == 2
 
 
+def test_jaccard_names_components_by_keys_only(spark):
+    """Texts that only rows without a key hold, alone and linked with keyed ones; several contents, so that their hashes are once smaller
+    and once larger than the keys."""
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(60)]
+        text = lambda extra: " ".join([*base, *(f"g{g}x{i}" for i in range(extra))])  # noqa: B023, E731
+        rows += [(50 + 10 * g, text(0)), (51 + 10 * g, text(2)), (None, text(1)), (None, f"alone {g} " + " ".join(f"a{g}b{i}" for i in range(30)))]
+        rows += [(None, f"pair {g} " + " ".join(f"p{g}q{i}" for i in range(50 + j))) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, J.jaccard_components(df, k=3, percent=90).drop("boundary").collect()))
+    assert got == brute_components(rows, 3, 90)
+
+
 def test_boundary_follows_the_costs():
     assert J.choose_boundary({n: 10 for n in range(1, 60)}, 90, 1.0) == 20
     assert J.choose_boundary({}, 90, 1.0) == 1
@@ -179,6 +193,11 @@ def test_language_is_held_out_right(spark, rows):
     assert known_language(docs).count() == docs.count()
 
 
+def test_letters_of_all_planes_are_letters():
+    _, letters = grams(["\U00030000\U0002f800 x", "\U0001f600 1"])
+    assert letters.tolist() == [3, 0]
+
+
 def test_language_edges(spark, edges, edge_rows, empty):
     got = identify_languages(edges).collect()
     assert len(got) == len(edge_rows)
