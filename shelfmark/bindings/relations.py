@@ -95,6 +95,17 @@ def id_frontier(t: Tables) -> DataFrame:
     return J.id_frontier(held, "id", latest, t.lineitem.select(F.col("l_orderkey").alias("id")))
 
 
+@query("missing_ids", """
+SELECT id FROM (SELECT unnest(range(1, (SELECT max(o_orderkey) + 1 FROM orders))) AS id)
+WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 1000 > 40) AND id NOT IN (SELECT c_custkey FROM customer)""")
+def missing_orders(t: Tables) -> DataFrame:
+    # Held: orders with gaps, short and long ones. Done already: the ids of the customers.
+    key = F.col("o_orderkey")
+    held = t.orders.filter((key % 7 != 3) & (key % 1000 > 40)).select(key.alias("id"))
+    latest = t.orders.agg(F.max("o_orderkey")).first()[0]
+    return J.missing_ids(held, "id", 1, latest, t.customer.select(F.col("c_custkey").alias("id")))
+
+
 @query("dedup_keep_first", """
 SELECT doc_id, text, lang, source, n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS pos FROM documents)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import drop_nulls_subset
@@ -114,6 +114,48 @@ def id_frontier(
     return ids if done is None else anti_join_pending(ids, done, key)
 
 
+def held_intervals(held: DataFrame, key: str, block: int = 1 << 16) -> DataFrame:
+    """The ids held as disjoint intervals ``(first, last)``, both ends included; ids without a gap between them are one interval.
+
+    Gaps and islands in two steps: ids are joined to islands within blocks of ``block`` neighbouring ids, wherever many rows fall;
+    islands that meet at a block's edge are then joined by a running count of those that do not, which needs two rows per block
+    and not the ids.
+    """
+    ids = drop_nulls_subset(held.select(F.col(key).cast("long").alias("id")), ["id"]).distinct()
+    of_block = F.floor(F.col("id") / F.lit(block))
+    island = F.col("id") - F.row_number().over(Window.partitionBy("block").orderBy("id"))
+    within = ids.withColumn("block", of_block).withColumn("island", island).groupBy("block", "island").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    low, high = F.col("block") * block, F.col("block") * block + (block - 1)
+    at_edge = (F.col("first") == low) | (F.col("last") == high)
+    inner = within.filter(~at_edge).select("first", "last")
+    # At most two islands of a block reach its edges; these alone are put in one order.
+    edges = within.filter(at_edge).select("first", "last")
+    order = Window.orderBy("first")
+    begins = F.when(F.col("first") == F.lag("last").over(order) + 1, 0).otherwise(1)
+    joined = edges.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return inner.unionByName(joined.select("first", "last"))
+
+
+def missing_ids(held: DataFrame, key: str, lowest: int, latest: int, done: DataFrame | None = None, block: int = 1 << 16) -> DataFrame:
+    """All ids from ``lowest`` to ``latest`` that are not held, below the highest one held as well as above it, less those ``done``.
+
+    Found from the gaps, block by block of neighbouring ids: within a block between its held ids and its ends, and blocks without any held
+    id as a whole. Nothing is put in one order, and held ids are not set against a list of all ids.
+    """
+    ids = drop_nulls_subset(held.select(F.col(key).cast("long").alias("id")), ["id"]).filter(F.col("id").between(lowest, latest)).distinct()
+    inside = ids.withColumn("block", F.floor(F.col("id") / F.lit(block)))
+    met = inside.select("block").distinct()
+    ends = met.select(F.explode(F.array(F.col("block") * block - 1, (F.col("block") + 1) * block)).alias("id"), "block")
+    after = F.lead("id").over(Window.partitionBy("block").orderBy("id"))
+    gaps = inside.unionByName(ends).withColumn("next", after).filter(F.col("next") > F.col("id") + 1)
+    gaps = gaps.select((F.col("id") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+    blocks = held.sparkSession.range(lowest // block, latest // block + 1).select(F.col("id").alias("block"))
+    whole = blocks.join(met, "block", "left_anti").select((F.col("block") * block).alias("first"), ((F.col("block") + 1) * block - 1).alias("last"))
+    clipped = gaps.unionByName(whole).select(F.greatest("first", F.lit(lowest)).alias("first"), F.least("last", F.lit(latest)).alias("last")).filter("first <= last")
+    missing = clipped.select(F.explode(F.sequence("first", "last")).alias(key))
+    return missing if done is None else anti_join_pending(missing, done, key)
+
+
 def union_by_name(*parts: DataFrame) -> DataFrame:
     """All rows of all parts, columns matched by name, missing ones null."""
     first, *rest = parts

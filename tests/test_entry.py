@@ -7,6 +7,7 @@ from pathlib import Path
 
 import py4j
 import pyspark
+import pytest
 
 REPO = Path(__file__).resolve().parents[1]
 
@@ -29,3 +30,14 @@ def test_queries_are_listed_without_a_session(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("library", ["tokenizers", "zstandard", "public_tokenizers"])
+def test_a_missing_library_of_the_training_data_operators_takes_only_these(tmp_path, library):
+    code = (
+        f"import sys; sys.path.insert(0, {str(REPO)!r}); sys.modules[{library!r}] = None\n"
+        "import __spark_entry__ as e\n"
+        "assert len(e.queries()) >= 75 and not any(n.startswith('op') for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -139,3 +139,18 @@ def test_a_join_that_multiplies_rows_fails_after_its_job(spark, tmp_path):
     joined.write.parquet(str(tmp_path / "twice"))
     with pytest.raises(ValueError, match="4 rows of 3"):
         check.verify()
+
+
+def test_held_ids_as_intervals_and_what_is_missing(spark):
+    """Blocks full of ids, gaps at and across the edges of blocks, repeated and missing ids."""
+    held = [*range(0, 40), *range(41, 64), 70, 70, *range(95, 161), 200, -3, -2, None]
+    df = spark.createDataFrame([(i,) for i in held], "id long").repartition(5)
+    for block in (8, 32, 1 << 16):
+        got = sorted(map(tuple, J.held_intervals(df, "id", block).collect()))
+        assert got == [(-3, -2), (0, 39), (41, 63), (70, 70), (95, 160), (200, 200)]
+    done = spark.createDataFrame([(40,), (161,), (None,)], "id long")
+    missing = lambda *a: sorted(r.id for r in J.missing_ids(df, "id", *a, block=16).collect())
+    assert missing(10, 210) == [i for i in range(10, 211) if i not in held]
+    assert missing(10, 210, done) == [i for i in range(10, 211) if i not in held and i not in (40, 161)]
+    assert missing(45, 50) == [] and missing(300, 299) == [] and missing(300, 301) == [300, 301]
+    assert J.missing_ids(df.limit(0), "id", 0, 200_000).count() == 200_001
