@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfmark.sinks.folders import delete
 
 # Skewed joins are split by map-output blocks at run time, which stays exact even when the hot
 # rows are identical copies; a content-based salt could not spread those.
@@ -41,4 +45,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/shelfmark-{uuid.uuid4().hex}/{label}"
+    root = f"{base.rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+    for made in _COLLECTING:
+        made.append(root)
+    return f"{root}/{label}"
+
+
+_COLLECTING: list[list[str]] = []
+
+
+@contextmanager
+def scratch_made() -> Iterator[list[str]]:
+    """The scratch folders that are asked for inside the block, for ``free_scratch`` later on."""
+    made: list[str] = []
+    _COLLECTING.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTING.remove(made)
+
+
+def free_scratch(spark: SparkSession, made: list[str], needed: DataFrame) -> None:
+    """Delete the folders ``made``, but for those that ``needed`` still reads, which stay in the list.
+
+    To be called when what was made from them is written, since a later read would miss them.
+    """
+    files = needed.inputFiles() if made else []
+    read = {part for f in files for part in f.split("/") if part.startswith("shelfmark-")}
+    for root in list(made):
+        if root.rsplit("/", 1)[-1] not in read:
+            delete(spark, root)
+            made.remove(root)

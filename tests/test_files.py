@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.session import scratch_path
+from shelfmark.session import free_scratch, scratch_made, scratch_path
+from shelfmark.sinks.folders import names
 from shelfmark.sinks import writers as W
 from shelfmark.sources import readers as S
 
@@ -118,6 +119,20 @@ def test_scratch_is_in_the_folder_of_the_session(spark):
     assert first.startswith(base) and first != second and uuid.UUID(first.split("shelfmark-")[-1].split("/")[0])
 
 
+def test_scratch_is_freed_but_for_what_is_read(spark):
+    with scratch_made() as made:
+        one, two = scratch_path(spark, "one"), scratch_path(spark, "two")
+    scratch_path(spark, "other")
+    assert len(made) == 2
+    for path in (one, two):
+        spark.range(3).write.parquet(path)
+    needed = spark.read.parquet(two)
+    free_scratch(spark, made, needed)
+    assert [two.startswith(root) for root in made] == [True] and needed.count() == 3 and names(spark, one) == []
+    free_scratch(spark, made, spark.range(1))
+    assert made == [] and names(spark, two) == []
+
+
 def test_scratch_falls_back_to_the_warehouse():
     conf = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
     assert scratch_path(SimpleNamespace(conf=conf), "x").startswith("file:/shared/warehouse/_scratch/shelfmark-")
