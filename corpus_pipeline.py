@@ -1,11 +1,14 @@
 """A corpus pipeline from raw documents to packed token sequences.
 
 Each stage works on all rows that the one before it kept, written as parquet to the shared folder between them. All
-but the last return rows with the columns of ``documents``.
+but the last return rows with the columns of ``documents``. Each stage deletes the intermediate tables of the one before.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +17,9 @@ from shelfmark.llm.jaccard import one_of_each_group
 from shelfmark.llm.language import known_language
 from shelfmark.llm.packing import pack_documents
 from shelfmark.llm.secrets import mask_secrets, scan_secrets
-from shelfmark.session import scratch_path
+from shelfmark.session import free_scratch, scratch_made, scratch_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +47,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048, special=True)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
-    ("secrets", secrets),
-    ("pack", pack),
-]
+_LEFT: list[str] = []
+
+
+def _freeing(stage: Stage) -> Stage:
+    """``stage``, which first deletes the intermediate tables of the stage before: its rows have been written and read again."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_scratch(spark, _LEFT, docs)
+        with scratch_made() as made:
+            rows = stage(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return rows
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _freeing(stage)) for stage in (language_id, near_duplicates, decontaminate, secrets, pack)]
 
 #: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
