@@ -16,6 +16,7 @@ from shelfmark.llm.components import components
 from shelfmark.llm.decontaminate import contamination, without_contaminated
 from shelfmark.llm.language import grams, identify_languages, known_language
 from shelfmark.llm.secrets import MASK, coverage, mask_secrets, scan_secrets
+from shelfmark.sinks.folders import names
 
 
 def lower(t):
@@ -259,17 +260,31 @@ def test_secrets_edges(spark, edges, edge_rows, empty):
     assert coverage("thecatxx", frozenset({"the", "cat"})) == 0.75
 
 
-def test_pipeline_stages(spark, tmp_path):
+def stage_by_stage(spark, docs, tmp_path):
+    """Rows that each stage returns, written and read again; no stage leaves the intermediate tables of the one before."""
     import corpus_pipeline
 
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    before = docs
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    out, made = [docs], []
+    for name, stage in corpus_pipeline.STAGES:
         path = str(tmp_path / name)
-        stage(spark, docs, folder).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if i < 4:
-            assert docs.columns == before.columns and 0.8 * before.count() < docs.count() <= before.count()
-    assert {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(docs.columns)
-    assert docs.select("doc_id").distinct().count() <= before.count()
+        stage(spark, out[-1], "/root/testdata/sf0.001").write.parquet(path)
+        out.append(spark.read.parquet(path))
+        assert not set(made) & set(corpus_pipeline._LEFT) and not any(names(spark, folder) for folder in made)
+        made = list(corpus_pipeline._LEFT)
+    return out
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = stage_by_stage(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), tmp_path)
+    for kept in docs[1:5]:
+        assert kept.columns == docs[0].columns and 0.8 * docs[0].count() < kept.count() <= docs[0].count()
+    assert {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(docs[5].columns)
+    assert docs[5].select("doc_id").distinct().count() <= docs[0].count()
+
+
+def test_pipeline_on_edges_and_on_nothing(spark, edges, empty, tmp_path):
+    docs = stage_by_stage(spark, edges, tmp_path / "edges")
+    assert all(kept.columns == edges.columns for kept in docs[1:5])
+    sizes = [kept.count() for kept in docs]
+    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] == sizes[4] > 0 and docs[5].count() >= sizes[4]
+    assert [kept.count() for kept in stage_by_stage(spark, empty, tmp_path / "none")] == [0] * 6
