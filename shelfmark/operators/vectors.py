@@ -75,7 +75,8 @@ def kmeans_centres(df: DataFrame, vector: str, key: str, k: int, seed: int, roun
         centres.append(list(first))
     whole = F.floor(F.col("x") * F.lit(float(FINE)) + 0.5).cast("bigint")
     for _ in range(rounds if centres else 0):
-        near = rows.select(_nearest(F.col("v"), centres)[0].alias("cluster"), F.posexplode_outer("v").alias("dim", "x"))
+        # The cluster first, else it would be found anew for each coordinate.
+        near = rows.select(_nearest(F.col("v"), centres)[0].alias("cluster"), "v").select("cluster", F.posexplode_outer("v").alias("dim", "x"))
         sums = near.filter("dim IS NOT NULL").groupBy("cluster", "dim").agg(F.sum(whole).alias("total"), F.count("x").alias("rows")).collect()
         moved = [list(c) for c in centres]
         for r in sums:
