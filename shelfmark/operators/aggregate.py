@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.columns import floor_bucket
+from shelfmark.operators.comoments import comoments
 from shelfmark.operators.filters import filter_min
 from shelfmark.operators.project import exploded
 
@@ -105,40 +103,21 @@ def nonconstant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix of the non-constant columns as rows ``(a, b, r)`` (runs two jobs).
+    """Pearson matrix of the non-constant columns as rows ``(a, b, r)`` (runs one job).
 
-    The first pass takes the columns' means and extremes. The second makes one vector per row, of centred values, their
-    squares and marks for values that are there, and sums its products with itself (a Gram matrix), so a
-    row stays one row however many columns there are, and what is merged has the size of the matrix. A pair uses the
-    rows that have both values. A constant column drops out, as does a pair that is constant where both are there.
+    A pair uses the rows that have both values; nulls, NaN and infinite values are missing. A constant column
+    drops out, as does a pair that is constant where both are there. The result stays distributed.
     """
-    p = len(columns)
-    values = [F.col(c).cast("double") for c in columns]
-    extremes = df.agg(*(f(v) for v in values for f in (F.avg, F.min, F.max))).first()
-    mean, low, high = ([extremes[3 * i + k] for i in range(p)] for k in range(3))
-    used = [i for i in range(p) if low[i] is not None and low[i] < high[i]]
-    spark = df.sparkSession
-    if not used:
-        return spark.createDataFrame([], "a string, b string, r double")
-    m = len(used)
-    centred = [values[i] - F.lit(mean[i]) for i in used]
-    there = [F.when(c.isNotNull(), 1.0).otherwise(0.0) for c in centred]
-    filled = [F.coalesce(c, F.lit(0.0)) for c in centred]
-    rows = df.select(array_to_vector(F.array(*filled, *(f * f for f in filled), *there)).alias("v"))
-    old = MLUtils.convertVectorColumnsFromML(rows, "v")
-    gram = RowMatrix(old).computeGramianMatrix().toArray()
-    x, x2, here = slice(0, m), slice(m, 2 * m), slice(2 * m, 3 * m)
-    n, sums, squares = gram[here, here], gram[x, here], gram[x2, here]
-    cross = n * gram[x, x] - sums * sums.T
-    spread = n * squares - sums**2
-    bound = 1e-12 * n * squares
-    out = []
-    for a in range(m):
-        for b in range(m):
-            if n[a, b] > 1 and spread[a, b] > bound[a, b] and spread[b, a] > bound[b, a]:
-                r = 1.0 if a == b else float(min(1.0, max(-1.0, cross[a, b] / math.sqrt(spread[a, b] * spread[b, a]))))
-                out.append((columns[used[a]], columns[used[b]], r))
-    return spark.createDataFrame(out, "a string, b string, r double")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    pairs = comoments(df, columns).filter(F.col("varies") & (F.col("m_aa") > 0) & (F.col("m_bb") > 0))
+    r = F.col("m_ab") / F.col("m_aa") * F.sqrt(F.col("m_aa") / F.col("m_bb"))  # no product of squares, which could overflow
+    r = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    name = lambda place: F.get(F.array(*map(F.lit, columns)), F.col(place))
+    named = pairs.select(name("a").alias("a"), name("b").alias("b"), r.alias("r"), (F.col("a") < F.col("b")).alias("two"))
+    mirrored = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    once = F.array(F.struct("a", "b", "r"))
+    return named.select(F.inline(F.when(F.col("two"), F.concat(once, F.array(mirrored))).otherwise(once)))
 
 
 def correlation_bands(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

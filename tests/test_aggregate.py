@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import aggregate as A
 from shelfmark.operators import rank as R
+from shelfmark.operators.comoments import comoments
 
 
 def rows(df):
@@ -57,6 +58,40 @@ def test_correlation_uses_rows_with_both_values(spark):
     assert got["a", "b"] == got["b", "a"] == pytest.approx(np.corrcoef([1, 3, 4], [1, 5, 4])[0, 1])
 
 
+def test_correlation_of_large_means_gaps_and_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 7)) + 1e9
+    x[:, 1] = 1e9 + 0.6 * (x[:, 0] - 1e9) + rng.normal(0, 0.5, 600)
+    # Where column 2 is missing, column 3 lies a billion away from its other values.
+    x[300:, 3] -= 1e9
+    x[:, 5] = 0.1
+    cells = [[None if (c == 2 and i >= 300) or (c == 4 and i % 3 == 0) else float(v) for c, v in enumerate(r)] for i, r in enumerate(x)]
+    cells[7][6], cells[8][6] = float("nan"), float("inf")
+    names = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame(cells, ", ".join(f"{n} double" for n in names))
+    here = np.array([[v is not None and np.isfinite(v) for v in r] for r in cells])
+    want = {}
+    for a in range(7):
+        for b in range(7):
+            both = here[:, a] & here[:, b]
+            if a != 5 and b != 5:
+                want[names[a], names[b]] = np.corrcoef(x[both, a] - x[both, a][0], x[both, b] - x[both, b][0])[0, 1]
+    for parts, block in ((1, 128), (9, 128), (9, 3)):
+        pairs = {(r.a, r.b): r for r in comoments(df.repartition(parts), names, block).collect()}
+        assert pairs[2, 3].n == 300 and pairs[2, 4].n == 200 and not pairs[0, 5].varies
+        assert pairs[2, 3].m_bb == pytest.approx(((x[:300, 3] - x[:300, 3].mean()) ** 2).sum(), rel=1e-6)
+        assert all(a <= b for a, b in pairs) and len(pairs) == 28
+    got = {(r.a, r.b): r.r for r in A.correlation_matrix(df.repartition(9), names).collect()}
+    assert got.keys() == want.keys()
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_correlation_of_nothing(spark):
+    df = numeric(spark)
+    assert A.correlation_matrix(df.limit(0), NAMES).count() == A.correlation_matrix(df, []).count() == 0
+    assert A.correlation_matrix(df, ["empty", "same"]).count() == 0
+
+
 @pytest.mark.parametrize("r, band", [
     (1.0, "Strong Positive"), (0.7, "Strong Positive"), (0.69, "Moderate Positive"), (0.5, "Moderate Positive"),
     (0.3, "Weak Positive"), (0.29, None), (0.0, None), (-0.3, None), (-0.31, "Weak Negative"),
