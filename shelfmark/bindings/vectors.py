@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.bindings.ranks import DIM_MEANS, LABEL_DIM_MEANS
 from shelfmark.bindings.registry import Tables, query, rounded
 from shelfmark.operators import aggregate as A
+from shelfmark.operators import principal as P
 from shelfmark.operators import vectors as V
 from shelfmark.schema import CLUSTER_SEED, CLUSTERS
 
@@ -59,6 +60,31 @@ def kmeans_assign(t: Tables) -> DataFrame:
     return V.kmeans_assign(t.embeddings, "embedding", key="vec_id").select("vec_id", "cluster")
 
 
-@query("pca_project")
+def _pca_sql(k: int, squarings: int = 18) -> str:
+    """Scores by squaring the covariance matrix until one component is left, which is then taken out of it."""
+    steps = ["""x AS MATERIALIZED (
+      SELECT vec_id, dim, value - avg(value) OVER (PARTITION BY dim) AS value
+      FROM (SELECT vec_id, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings))""",
+      "c0 AS MATERIALIZED (SELECT p.dim AS i, q.dim AS j, sum(p.value * q.value) AS m FROM x p JOIN x q USING (vec_id) GROUP BY 1, 2)"]
+    for n in range(k):
+        last = f"c{n}"
+        for s in range(squarings):
+            steps.append(f"""p{n}_{s} AS MATERIALIZED (
+              SELECT i, j, m / sum(CASE WHEN i = j THEN m END) OVER () AS m FROM (
+                SELECT p.i, q.j, sum(p.m * q.m) AS m FROM {last} p JOIN {last} q ON p.j = q.i GROUP BY 1, 2))""")
+            last = f"p{n}_{s}"
+        steps.append(f"""v{n} AS MATERIALIZED (
+          SELECT i AS dim, loading * sign(first_value(loading) OVER (ORDER BY abs(loading) DESC, i)) AS loading FROM (
+            SELECT i, m / sqrt(top) AS loading FROM {last}, (SELECT i AS best, m AS top FROM {last} WHERE i = j ORDER BY m DESC, i LIMIT 1) WHERE j = best))""")
+        steps.append(f"""c{n + 1} AS MATERIALIZED (
+          SELECT i, j, m - size * a.loading * b.loading AS m FROM c{n} JOIN v{n} a ON i = a.dim JOIN v{n} b ON j = b.dim,
+            (SELECT sum(m * a.loading * b.loading) AS size FROM c{n} JOIN v{n} a ON i = a.dim JOIN v{n} b ON j = b.dim))""")
+    scores = ", ".join(f"round(sum(value * v{n}.loading), 6) AS pc{n + 1}" for n in range(k))
+    joins = " ".join(f"JOIN v{n} USING (dim)" for n in range(k))
+    return f"WITH {', '.join(steps)} SELECT vec_id, {scores} FROM x {joins} GROUP BY vec_id"
+
+
+@query("pca_project", _pca_sql(2))
 def pca_project(t: Tables) -> DataFrame:
-    return V.pca_project(t.embeddings, "vec_id", "embedding")
+    scores = P.pca_project(t.embeddings, "vec_id", "embedding")
+    return scores.withColumns({c: rounded(c) for c in ("pc1", "pc2")})

@@ -176,7 +176,8 @@ def mean_vector(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame
         .groupBy(*by, "_slice")
         .agg(Summarizer.mean(F.col("_v")).alias("_v"), F.count(F.lit(1)).cast("double").alias("_n"))
     )
-    means = partial.groupBy(*by).agg(
+    # By a constant where there is no key: no row then, and not an empty mean, for an empty table.
+    means = partial.groupBy(*(by or [F.lit("all")])).agg(
         vector_to_array(Summarizer.mean(F.col("_v"), F.col("_n"))).alias("_mean")
     )
     return means.select(*by, F.posexplode("_mean").alias("dim", "mean"))

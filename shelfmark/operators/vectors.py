@@ -1,12 +1,12 @@
-"""Vector assembly, K-means, principal components."""
+"""Vector assembly and K-means."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,22 +94,3 @@ def _nearest(vector: Column, centres: list[list[float]]) -> tuple[Column, Column
     square = lambda c: F.aggregate(F.zip_with(vector, literal(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     found = F.array_min(F.array(*(F.named_struct(F.lit("away"), square(c), F.lit("cluster"), F.lit(i)) for i, c in enumerate(centres))))
     return found["cluster"], found["away"]
-
-
-def pca_project(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
-    """Scores on the first ``k`` principal components of all rows, centred (runs jobs).
-
-    Each component is turned so that its largest loading is positive, which fixes its sign.
-    """
-    features = df.filter(F.col(vector).isNotNull()).select(
-        key, array_to_vector(F.col(vector)).alias("_raw")
-    )
-    scaler = StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False)
-    centred = scaler.fit(features).transform(features)
-    model = PCA(k=k, inputCol="_centred", outputCol="_scores").fit(centred)
-    loadings = model.pc.toArray()
-    signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
-    scores = model.transform(centred).select(key, vector_to_array("_scores").alias("_s"))
-    return scores.select(
-        key, *((F.col("_s")[i] * sign).alias(f"pc{i + 1}") for i, sign in enumerate(signs))
-    )

@@ -14,7 +14,8 @@ from shelfmark.operators.filters import filter_min
 from shelfmark.operators.project import cast_numeric, concat_skip_nulls, floor_bucket, strip_chars
 from shelfmark.operators.relate import embedding_or_zero, left_join_checked, left_join_unique, semi_join_available
 from shelfmark.operators.text import frequent_words
-from shelfmark.operators.vectors import gather_columns, kmeans_assign, pca_project
+from shelfmark.operators.principal import pca_project
+from shelfmark.operators.vectors import gather_columns, kmeans_assign
 from shelfmark.schema import (
     CLUSTER_SEED,
     CLUSTERS,

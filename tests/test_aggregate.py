@@ -130,6 +130,7 @@ def vectors(spark):
 def test_mean_vector_equals_numpy_over_many_partitions(spark):
     got = dict(rows(A.mean_vector(vectors(spark), "v")))
     assert [got[d] for d in range(4)] == pytest.approx(list(np.mean([v for _, _, v in VECTORS], axis=0)))
+    assert rows(A.mean_vector(vectors(spark).limit(0), "v")) == rows(A.mean_vector(vectors(spark).limit(0), "v", ["c"])) == []
     per = {(r.c, r.dim): r["mean"] for r in A.mean_vector(vectors(spark), "v", ["c"]).collect()}
     for c in range(3):
         want = np.mean([v for _, k, v in VECTORS if k == c], axis=0)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.operators import principal as P
 from shelfmark.operators import vectors as V
 
 RNG = np.random.default_rng(3)
@@ -78,11 +79,45 @@ def test_kmeans_does_not_depend_on_how_rows_are_dealt(spark):
     assert V.kmeans_assign(df.limit(0), "v").count() == 0
 
 
+def by_svd(points, k):
+    centred = points - points.mean(axis=0)
+    loadings = np.linalg.svd(centred, full_matrices=False)[2][:k].T
+    return centred @ (loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)]))
+
+
+def scores(df, k):
+    return {r[0]: list(r[1:]) for r in P.pca_project(df, "id", "v", k).collect()}
+
+
 def test_pca_equals_numpy(points):
-    got = {r.id: (r.pc1, r.pc2) for r in V.pca_project(points, "id", "v").collect()}
-    centred = POINTS.astype(float) - POINTS.astype(float).mean(axis=0)
-    _, s, vt = np.linalg.svd(centred, full_matrices=False)
-    for i, v in enumerate(vt[:2]):
-        v = v * np.sign(v[np.argmax(np.abs(v))])
-        assert [got[k][i] for k in range(100)] == pytest.approx(list(centred @ v), abs=1e-6)
-    assert np.var([g[0] for g in got.values()]) >= np.var([g[1] for g in got.values()])
+    got, want = scores(points, 2), by_svd(POINTS.astype(float), 2)
+    assert sorted(got) == list(range(100))
+    assert np.array([got[i] for i in range(100)]) == pytest.approx(want, abs=1e-6)
+
+
+def test_pca_of_a_flat_spectrum_in_many_tasks(spark):
+    # More dimensions than directions held, eigenvalues close together, a mean far from nought.
+    points = np.random.default_rng(8).normal(50, 1, (1200, 300)) * np.linspace(1, 1.5, 300)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, v array<double>").repartition(9)
+    got = scores(df, 3)
+    assert np.array([got[i] for i in range(len(points))]) == pytest.approx(by_svd(points, 3), abs=1e-6)
+
+
+def test_pca_of_long_vectors(spark):
+    width = 20_000
+    df = spark.range(0, 60, 1, 4).select(
+        F.col("id"), F.transform(F.sequence(F.lit(1), F.lit(width)), lambda j: F.sin(F.col("id") * j * 0.7 + j) + (F.col("id") % 7) * F.cos(j * 0.1)).alias("v"))
+    points = np.array([r.v for r in df.orderBy("id").collect()])
+    got = scores(df, 2)
+    assert np.array([got[i] for i in range(60)]) == pytest.approx(by_svd(points, 2), abs=1e-6)
+
+
+def test_pca_edges(spark, points):
+    assert scores(points.limit(0), 2) == {} and scores(points.filter("id = 999"), 2) == {}
+    same = spark.createDataFrame([("a", [1.0, 2.0, 3.0])] * 5 + [(None, [1.0, 2.0, 3.0])], "id string, v array<double>")
+    assert scores(same, 2) == {"a": [0.0, 0.0], None: [0.0, 0.0]}
+    with pytest.raises(ValueError, match="1 to 3 components"):
+        P.pca_project(same, "id", "v", 4)
+    uneven = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id int, v array<double>")
+    with pytest.raises(Exception, match="numbers|imension"):
+        P.pca_project(uneven, "id", "v").collect()
