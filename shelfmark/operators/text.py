@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
@@ -13,12 +13,10 @@ from shelfmark.functions.wordlists import ANALYSIS_STOPWORDS
 from shelfmark.operators.aggregate import count_by, word_counts
 from shelfmark.operators.project import exploded
 from shelfmark.operators.relate import broadcast_if_bounded
+from shelfmark.operators.vocabulary import most_frequent
 from shelfmark.schema import VOCABULARY_SIZE
 from shelfmark.session import scratch_path
 
-# Words a vocabulary may have; it is ranked in one task and broadcast.
-MAX_VOCABULARY = 100_000
-
 
 def token_filter(df: DataFrame, text: str, out: str, stopwords: Sequence[str]) -> DataFrame:
     """Add ``out``: the tokens of ``text`` that no rule rejects, joined by a blank."""
@@ -69,8 +67,8 @@ def analysed_words(
 
 
 def top_vocabulary(df: DataFrame, words: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent words with their counts; ties go to the smaller word."""
-    return word_counts(df, words).limit(size)
+    """The most frequent words with their counts, by bounded summaries of tasks (runs jobs); ties go to the smaller word."""
+    return most_frequent(df, F.col(words), None, size).select("word", "count")
 
 
 def _term_runs(df: DataFrame, words: str, *keep: str) -> DataFrame:
@@ -83,40 +81,11 @@ def _term_runs(df: DataFrame, words: str, *keep: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _vocabulary_statistics(runs: Column | str, df: DataFrame, size: int) -> DataFrame:
-    """``(word, count, doc_freq, idf)`` of the ``size`` most frequent words, in one pass.
-
-    A row adds one entry per distinct word and one without a word; the latter counts the rows,
-    sorts first, and so travels with the vocabulary through the same limit.
-    """
-    row_mark = F.array(
-        F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("tf"))
-    )
-    # Outer, with a filter, for the reason given at ``exploded``.
-    rows = df.select(F.inline_outer(F.concat(row_mark, runs))).filter(F.col("tf").isNotNull())
-    stats = rows.groupBy("word").agg(
-        F.sum("tf").alias("count"), F.count(F.lit(1)).alias("doc_freq")
-    )
-    top = stats.orderBy(F.col("word").isNull().desc(), F.desc("count"), "word")
-    # At most size + 1 rows reach this window.
-    total = F.max(F.when(F.col("word").isNull(), F.col("doc_freq"))).over(Window.partitionBy(F.lit(1)))
-    return (
-        top.limit(size + 1)
-        .withColumn("_rows", total)
-        .filter(F.col("word").isNotNull())
-        .select(
-            "word",
-            "count",
-            "doc_freq",
-            F.log((F.col("_rows") + 1) / (F.col("doc_freq") + 1)).alias("idf"),
-        )
-    )
-
-
-def _check_size(size: int) -> int:
-    if not 0 < size <= MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary has 1 to {MAX_VOCABULARY} words")
-    return size
+def _vocabulary_statistics(runs: DataFrame, size: int) -> DataFrame:
+    """``(word, count, doc_freq, idf)`` of the ``size`` most frequent words of the rows of ``_term_runs``; ``idf`` counts all but null ones."""
+    rows = F.lit(float(runs.filter("runs IS NOT NULL").count() + 1))
+    top = most_frequent(runs, F.col("runs.word"), F.col("runs.tf"), size)
+    return top.withColumn("idf", F.log(rows / (F.col("doc_freq") + 1)))
 
 
 def term_frequencies(
@@ -124,10 +93,11 @@ def term_frequencies(
 ) -> DataFrame:
     """How often each vocabulary word occurs in each row: ``(key, word, tf)``.
 
-    Rows are counted in place, once; only the vocabulary itself needs a shuffle.
+    Rows are counted in place, once; only the vocabulary needs a shuffle, bounded by the tasks' summaries. One of more than 100,000
+    words is not broadcast but joined by its words, where Spark does not find it small.
     """
     runs = _term_runs(df, words, key)
-    vocab = _vocabulary_statistics(F.col("runs"), runs, _check_size(size)).select("word")
+    vocab = _vocabulary_statistics(runs, size).select("word")
     counted = runs.select(key, F.inline("runs")).join(broadcast_if_bounded(vocab, size), "word")
     return counted.select(key, "word", "tf")
 
@@ -135,7 +105,7 @@ def term_frequencies(
 def tfidf(df: DataFrame, key: str, words: str, size: int = VOCABULARY_SIZE) -> DataFrame:
     """TF-IDF of each vocabulary word in each row: tf x ln((rows + 1) / (rows with the word + 1))."""
     runs = _term_runs(df, words, key)
-    vocab = _vocabulary_statistics(F.col("runs"), runs, _check_size(size)).select("word", "idf")
+    vocab = _vocabulary_statistics(runs, size).select("word", "idf")
     weighted = runs.select(key, F.inline("runs")).join(broadcast_if_bounded(vocab, size), "word")
     return weighted.select(key, "word", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
@@ -147,7 +117,7 @@ def top_tfidf_terms(
 
     A word has one idf, so its sum is count x idf and no per-row table is needed.
     """
-    scored = _vocabulary_statistics(X.term_runs(F.col(words)), df, _check_size(size)).select(
+    scored = _vocabulary_statistics(_term_runs(df, words), size).select(
         "word", (F.col("count") * F.col("idf")).alias("tfidf_sum")
     )
     return scored.orderBy(F.desc("tfidf_sum"), "word").limit(k)

@@ -5,6 +5,7 @@ import re
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.functions.wordlists import ANALYSIS_STOPWORDS, ENGLISH_STOPWORDS
+from shelfmark.operators import relate as R
 from shelfmark.operators import text as O
+from shelfmark.operators import vocabulary as V
 
 PATTERNS = [r"[a-zA-Z]*\d+[a-zA-Z]*", r"[a-zA-Z0-9]*[^\w\s][a-zA-Z0-9]*"]
 
@@ -148,6 +151,62 @@ def test_tfidf_rows_without_words_count_but_null_rows_do_not(spark):
     assert got == pytest.approx(brute_tfidf(4))
 
 
+def zipf(spark, rows, parts):
+    """Rows of words by falling frequency, with ties, single words and nulls."""
+    rng = np.random.default_rng(4)
+    texts = [[*(f"w{int(x) % 3000}" for x in rng.zipf(1.3, 30)), f"only{i}", None] for i in range(rows)]
+    return texts, spark.createDataFrame(list(enumerate([*texts, [], None])), "k int, w array<string>").repartition(parts)
+
+
+def by_count(texts, size):
+    counts, docs = Counter(), Counter()
+    for t in texts:
+        kept = [w for w in t if w is not None]
+        counts.update(kept)
+        docs.update(set(kept))
+    return [(w, counts[w], docs[w]) for w in sorted(counts, key=lambda w: (-counts[w], w))[:size]]
+
+
+@pytest.mark.parametrize("size, counters", [(20, None), (20, 600), (20, 25), (400, 30), (50, 1)])
+def test_most_frequent_with_few_counters(spark, size, counters):
+    # None left out; some left out and candidates counted again; too many left out, so all are counted.
+    texts, df = zipf(spark, 700, 5)
+    df = df.select(X.term_runs(F.col("w")).alias("r"))
+    got = V.most_frequent(df, F.col("r.word"), F.col("r.tf"), size, counters)
+    assert [tuple(r) for r in got.collect()] == by_count(texts, size)
+
+
+@pytest.mark.parametrize("counters", [None, 600])
+def test_most_frequent_without_counts(spark, counters):
+    texts, df = zipf(spark, 300, 3)
+    got = V.most_frequent(df, F.col("w"), None, 15, counters).collect()
+    assert [(r.word, r["count"]) for r in got] == [t[:2] for t in by_count(texts, 15)]
+    assert V.most_frequent(df.limit(0), F.col("w"), None, 15).collect() == []
+    with pytest.raises(ValueError, match="at least one word"):
+        V.most_frequent(df, F.col("w"), None, 0)
+
+
+def test_tasks_pass_on_no_more_than_their_counters(spark, monkeypatch, tmp_path):
+    _, df = zipf(spark, 700, 5)
+    monkeypatch.setattr(V, "scratch_path", lambda _, label: f"{tmp_path}/{label}")
+    V.most_frequent(df, F.col("w"), None, 20, 600)
+    passed = spark.read.parquet(f"{tmp_path}/words").groupBy(F.input_file_name().alias("f")).agg(F.count("word").alias("n"), F.max("missed").alias("missed"))
+    assert {r.n for r in passed.collect()} == {600} and all(r.missed >= 1 for r in passed.collect())
+    assert spark.read.parquet(f"{tmp_path}/candidates").count() < 600
+
+
+@pytest.mark.parametrize("size", [7, 100, 5000])
+def test_vocabularies_too_large_for_one_task(spark, monkeypatch, size):
+    monkeypatch.setattr(V, "MAX_VOCABULARY", 5)
+    monkeypatch.setattr(R, "MAX_BROADCAST_ROWS", 5)
+    texts, df = zipf(spark, 200, 4)
+    assert sorted(tuple(r) for r in O.top_vocabulary(df, "w", size).collect()) == sorted(t[:2] for t in by_count(texts, size))
+    vocab = {w for w, *_ in by_count(texts, size)}
+    want = {(k, w): n for k, t in enumerate(texts) for w, n in Counter(t).items() if w in vocab}
+    frequencies = O.term_frequencies(df, "k", "w", size)
+    assert {(r.k, r.word): r.tf for r in frequencies.collect()} == want
+
+
 def test_ml_vectors_agree_with_the_long_form(spark):
     df = documents(spark)
     vocab = [r.word for r in O.top_vocabulary(df, "w", 4).collect()]
