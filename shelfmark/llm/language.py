@@ -22,6 +22,7 @@ from shelfmark.llm.words import groups_by_size
 FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
 UNKNOWN = "und"
+MIN_FIT = -0.55  # between other prose of a learned language (about -0.45) and random letters (about -0.6)
 _CHUNK = 1 << 20
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
@@ -67,11 +68,16 @@ def _chunks(column: pa.Array):
 
 @dataclass
 class LanguageModel:
-    """Languages in order, and for each the log probability of every feature and of the language."""
+    """Languages in order, and for each the log probability of every feature and of the language.
+
+    ``usual`` is the mean log probability of an n-gram of the language's own texts, ``strange`` that of any feature.
+    """
 
     languages: list[str]
     log_probability: np.ndarray
     log_prior: np.ndarray
+    usual: np.ndarray
+    strange: np.ndarray
 
 
 def train(docs: DataFrame, text: str, lang: str, smoothing: float = 0.5) -> LanguageModel:
@@ -101,44 +107,52 @@ def train(docs: DataFrame, text: str, lang: str, smoothing: float = 0.5) -> Lang
     counts = np.array([sums[n][:-1] for n in names], dtype=float).reshape(len(names), FEATURES)
     rows = np.array([sums[n][-1] for n in names], dtype=float)
     smooth = counts + smoothing
-    return LanguageModel(names, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32), np.log(rows / max(rows.sum(), 1)))
+    log_probability = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    usual = (counts * log_probability).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
+    return LanguageModel(names, log_probability, np.log(rows / max(rows.sum(), 1)), usual, log_probability.mean(axis=1, dtype=np.float64))
 
 
 def predict(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the posterior probability of the predicted language.
+    """Add ``lang_pred``, ``score``, the posterior probability of the predicted language, and ``fit``.
 
-    A text without letters and a null one are ``und`` with score 0, as is every text for a model without languages. Ties
+    ``fit`` says how far the text's n-grams are from those of the language's own texts: about 0 for these, about -1 for n-grams the
+    language does not have, less an allowance of one over the root of their number, so that few n-grams weigh little; it is 0 at
+    most. A text without letters and a null one are ``und`` with score and fit 0, as is every text for a model without languages. Ties
     go to the first language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    names, at = [*docs.columns, "lang_pred", "score"], docs.columns.index(text)
+    names, at = [*docs.columns, "lang_pred", "score", "fit"], docs.columns.index(text)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = np.ascontiguousarray(m.log_probability.T)
         for batch in batches:
             label = np.full(batch.num_rows, UNKNOWN, dtype=object)
-            score = np.zeros(batch.num_rows)
+            score, fit = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for lo, hi, texts in _chunks(batch.column(at)):
                 found, letters = grams(texts)
                 some = np.flatnonzero(letters > 0)
                 if not len(some) or not m.languages:
                     continue
                 # A text with a letter has n-grams of every order up to two; absent ones get an empty sum.
-                evidence = np.tile(m.log_prior, (len(some), 1))
+                evidence, number = np.tile(m.log_prior, (len(some), 1)), np.zeros(len(some))
                 for features, begins in found:
                     sizes = np.diff(begins)[some]
                     sums = np.add.reduceat(table[features], begins[:-1][some[sizes > 0]], axis=0, dtype=np.float64)
                     evidence[sizes > 0] += sums
+                    number += sizes
                 best = evidence.argmax(axis=1)
                 scaled = evidence - evidence.max(axis=1, keepdims=True)
                 posterior = np.exp(scaled)
                 label[lo + some] = np.array(m.languages, dtype=object)[best]
                 score[lo + some] = posterior[np.arange(len(some)), best] / posterior.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score)], names)
+                mean = (evidence[np.arange(len(some)), best] - m.log_prior[best]) / number
+                away = (m.usual - mean[:, None])[np.arange(len(some)), best] / np.maximum(m.usual - m.strange, 1e-9)[best]
+                fit[lo + some] = np.minimum(1 / np.sqrt(number) - away, 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score), pa.array(fit)], names)
 
-    return docs.mapInArrow(make, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(make, f"{schema}, lang_pred string, score double, fit double")
 
 
 def held_out(key: str, folds: int = 5):
@@ -158,14 +172,17 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return said.select(F.col("_k").alias(key), "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, text: str = "text", lang: str = "lang", min_score: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, text: str = "text", lang: str = "lang", min_score: float = 0.5, min_fit: float = MIN_FIT) -> DataFrame:
     """The rows of ``docs`` whose text has a recognisable language, by a model learned from all of them.
 
-    Rejected are texts without letters, null texts, and those whose best language has a probability below ``min_score``.
-    Without any row to learn from nothing can be judged, and rows with a letter stay.
+    Rejected are texts without letters, null texts, those whose best language has a probability below ``min_score``, and those whose
+    n-grams are too far from that language's own texts (``fit`` below ``min_fit``): strings of random letters and languages in
+    other letters. An unlearned language that shares letters and endings with a learned one stays, as would other prose of a learned
+    one. Without any row to learn from nothing can be judged, and rows with a letter stay.
     """
     model = train(docs.select(F.col(text).alias("_t"), F.col(lang).cast("string").alias("_l")), "_t", "_l")
     if not model.languages:
         return docs.filter(F.col(text).rlike(r"\p{L}"))
     judged = predict(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")), "_t", model)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & (F.col("fit") >= min_fit)
+    return judged.filter(known).select("_row.*")

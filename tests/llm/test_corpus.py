@@ -1,6 +1,8 @@
 """Near duplicates, decontamination, language, secrets and the pipeline against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import jaccard as J
 from shelfmark.llm.components import components
 from shelfmark.llm.decontaminate import contamination, without_contaminated
-from shelfmark.llm.language import grams, identify_languages, known_language
+from shelfmark.llm.language import FEATURES, grams, identify_languages, known_language
 from shelfmark.llm.secrets import MASK, coverage, mask_secrets, scan_secrets
 from shelfmark.sinks.folders import names
 
@@ -194,6 +196,35 @@ def test_language_is_held_out_right(spark, rows):
     assert known_language(docs).count() == docs.count()
 
 
+def test_language_is_that_of_plain_naive_bayes(spark, rows):
+    docs = [(r[0], r[1], r[2]) for r in rows("documents")[:60]]
+    features = {i: [int(x) for found, _ in grams([t])[0] for x in found] for i, t, _ in docs}
+    learned = [(i, lang) for i, _, lang in docs if lang and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({lang for _, lang in learned})
+    counts = {lang: Counter(x for i, own in learned if own == lang for x in features[i]) for lang in langs}
+    log = {lang: lambda x, c=c, all=sum(c.values()) + 0.5 * FEATURES: math.log((c[x] + 0.5) / all) for lang, c in counts.items()}
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in identify_languages(d).collect()}
+    for i, xs in features.items():
+        evidence = {lang: math.log(sum(own == lang for _, own in learned) / len(learned)) + sum(map(log[lang], xs)) for lang in langs}
+        best = max(langs, key=evidence.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(math.exp(e - evidence[best]) for e in evidence.values()), abs=1e-3)
+
+
+def test_texts_far_from_every_language_go(spark, rows):
+    draw = random.Random(2)
+    docs = [(r[0], r[1], r[2]) for r in rows("documents")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(n)) for n in (300, 500, 800)]
+    other = ["Съешь же ещё этих мягких французских булок да выпей чаю. " * 3, "快速的棕色狐狸跳过懒狗，然后又跑回来了。" * 3, "Η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί. " * 3]
+    prose = ["The quick brown fox jumps over the lazy dog and then runs back home before the rain begins to fall.", "Hello, Mr. Smith", "le chat"]
+    planted = [(90_000 + i, t, "en") for i, t in enumerate([*noise, *other, *prose])]
+    d = spark.createDataFrame([*docs, *planted], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in known_language(d.withColumn("lang", F.when(F.col("doc_id") < 90_000, F.col("lang")))).collect()}
+    assert kept == {i for i, _, _ in docs} | {90_006, 90_007, 90_008}
+
+
 def test_letters_of_all_planes_are_letters():
     _, letters = grams(["\U00030000\U0002f800 x", "\U0001f600 1"])
     assert letters.tolist() == [3, 0]
