@@ -3,7 +3,8 @@
 One pass over the training texts counts, in every task, the distinct histories of a byte and the distinct words. From the histories come
 the counts of 0 and 1 in hashed slots for each kind of context; the tasks' tables are added slice by slice over the executors, and
 each slot is reduced to a state of two bytes where its slice is. Only these, of fixed size, and the words of the highest counts, a
-bounded number, reach the driver and are broadcast. Words beyond that number are looked up by a join. A second pass scores all texts.
+bounded number, reach the driver and are broadcast. Words beyond that number are looked up by a join. A second pass over the training texts learns
+the gates' weights from sums of fixed size, a third one scores all texts.
 """
 
 from __future__ import annotations
@@ -21,14 +22,11 @@ from pyspark.sql import functions as F
 from shelfmark.llm import mixing
 from shelfmark.llm.common import small_batches, stored
 from shelfmark.llm.mixing import Mixer
-from shelfmark.llm.sums import PARTS, SLICE_BYTES, merged, pack, sliced, unpack
+from shelfmark.llm.sums import PARTS, SLICE_BYTES, gathered, merged, pack, sliced, unpack
 from shelfmark.llm.words import groups_by_size, raw_text
 
 KNOWN_WORDS = 1 << 20  # words whose counts are broadcast
-SAMPLE_TEXTS = 2048  # training texts, at most in expectation, from which the gates' weights are learned
-SAMPLE_GROUPS = 8
-RATE = 0.02
-GATES = ("by_node", "by_seen", "low")
+PRIOR = 100.0  # decisions for which the weights that the gates start with stand
 _CHUNK = 1 << 22
 _HELD_HISTORIES = 1 << 22
 _HELD_WORDS = 1 << 20
@@ -172,35 +170,34 @@ def opened(shared: Broadcast) -> Mixer:
     return Mixer([unpack(t, "<u2") for t in tables], [unpack(x, "<f4") for x in logits])
 
 
-def learn_gates(texts: DataFrame, mixer: Mixer, shared: Broadcast, number: int, sample: int) -> None:
-    """Weights of the gates, learned online from a sample of about ``sample`` of the ``number`` texts.
+def learn_gates(texts: DataFrame, mixer: Mixer, shared: Broadcast, number: int, prior: float = PRIOR) -> None:
+    """Weights of the gates, learned from all ``number`` texts by one Newton step from those the mixer has.
 
-    The sample is chosen by a hash of the text, so it does not depend on how rows are dealt, and copies count once. It is dealt into ``SAMPLE_GROUPS``
-    groups, each read in the order of hashes; the groups' weights are averaged by the bytes they have read.
+    Each task adds slope and curvature over its texts, the tasks' sums are added over the executors. So the weights do not depend on how rows
+    are dealt. Repeated texts count each time.
     """
+    if not number:
+        return
     small_batches(texts.sparkSession)
-    space = 1 << 40
-    chosen = texts.select(F.col("_t"), F.xxhash64("_t").alias("h")).filter(F.pmod("h", F.lit(space)) < F.lit(int(space * min(1.0, sample / max(number, 1)))))
-    dealt = chosen.groupBy("h").agg(F.first("_t").alias("_t")).withColumn("group", F.pmod(F.shiftright("h", 40), F.lit(SAMPLE_GROUPS)))
+    shapes = {name: (len(getattr(mixer, name)), width + 1, width) for name, width in mixing.GATES.items()}
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = opened(shared)
-        group, read = group.sort_by("h"), 0
-        for batch in group.select(["_t"]).to_batches():
+        seen, sums = _Counts(), {name: np.zeros(shape) for name, shape in shapes.items()}
+        for batch in batches:
             for _, _, b, _ in _normal_chunks(batch.column(0)):
-                for lo in range(0, len(b), 1 << 18):
-                    start = max(0, lo - 64)  # what comes before a piece
-                    mixing.learn(own, mixing.histories(b[start:lo + (1 << 18)])[0][lo - start:], RATE)
-                read += len(b)
-        return pa.table({"read": [read], **{name: pa.array([pack(getattr(own, name))], pa.binary()) for name in GATES}})
+                seen.add(mixing.histories(b)[0])
+                if seen.size > 2 * _HELD_HISTORIES and len(seen.merge()[0]) > _HELD_HISTORIES:
+                    mixing.gate_sums(own, *seen.merge(), sums)
+                    seen.clear()
+        mixing.gate_sums(own, *seen.merge(), sums)
+        for name, total in sums.items():
+            yield from sliced(name, total.ravel(), "<f8")
 
-    learned = dealt.groupBy("group").applyInArrow(run, "read long, by_node binary, by_seen binary, low binary").collect()
-    total = sum(r["read"] for r in learned)
-    for name in GATES:
-        weights = getattr(mixer, name)
-        if total:
-            mean = sum(r["read"] / total * unpack(r[name], "<f4").reshape(weights.shape) for r in sorted(learned, key=lambda r: r["by_node"]))
-            setattr(mixer, name, mean.astype(np.float32))
+    parts = stored(texts.mapInArrow(run, PARTS), "gates")
+    total = gathered(merged(parts, "<f8"), "<f8", {name: int(np.prod(shape)) for name, shape in shapes.items()})
+    for name, shape in shapes.items():
+        setattr(mixer, name, mixing.moved(getattr(mixer, name), total[name].reshape(shape), prior))
 
 
 def _per_text(text_of: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
@@ -211,7 +208,7 @@ def score_rows(rows: DataFrame, mixer: Mixer, shared: Broadcast, known: tuple[np
     """Scores of ``rows`` (``_id``, ``_t`` and others): tokens, those known, base score but for rare words, natural log probability, bytes, and
     the rare words with their occurrences."""
     frequent = rows.sparkSession.sparkContext.broadcast(known)
-    weights = {name: getattr(mixer, name) for name in GATES}
+    weights = {name: getattr(mixer, name) for name in mixing.GATES}
     small_batches(rows.sparkSession)
     kept = [c for c in rows.columns if c != "_t"]
     at = [rows.columns.index(c) for c in kept]
@@ -249,7 +246,7 @@ def score_rows(rows: DataFrame, mixer: Mixer, shared: Broadcast, known: tuple[np
 
 def score_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, bits: tuple[int, ...] = mixing.BITS,
-    known_words: int = KNOWN_WORDS, sample_texts: int = SAMPLE_TEXTS,
+    known_words: int = KNOWN_WORDS,
 ) -> DataFrame:
     """``(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)`` for every row.
 
@@ -271,7 +268,7 @@ def score_texts(
     tokens, kinds = (said or 0) + ends, kinds + (ends > 0)
     mixer = corpus_mixer(parts, bits)
     shared = shared_tables(docs.sparkSession, mixer)
-    learn_gates(training, mixer, shared, ends, sample_texts)
+    learn_gates(training, mixer, shared, ends)
     known = frequent_words(counts, known_words)
     scored = stored(score_rows(rows, mixer, shared, known, ends, tokens, kinds), "scored")
 

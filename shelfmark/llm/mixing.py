@@ -31,6 +31,7 @@ LOW = 2  # contexts that the mixer for unfamiliar texts uses
 SEGMENT = 128  # bytes of a text after which its weights are refined first; then whenever it has doubled, or ``LONGEST`` bytes are read
 LONGEST = 4096
 _TOGETHER = 1 << 14  # histories mixed at once
+_SUMMED = 1 << 16  # histories whose gates' sums are made at once
 MEMORY = 512.0  # bytes of evidence that the weights of a text begin with
 
 
@@ -248,13 +249,14 @@ class Mixer:
         by_node = _NODE_HASH[node]
         x = np.empty((CONTEXTS, len(node)), np.float32)
         seen = np.zeros(len(node), np.uint8)
+        first = bit.astype(np.int32) * STATES if less else None
         for i in range(CONTEXTS):
             slot = np.repeat(context_hash(history, i), many)
             slot ^= by_node
             slot &= np.uint32(len(self.tables[i]) - 1)
             state = self.tables[i][slot]
             if less:
-                state = np.where(bit, _LESS[1][state], _LESS[0][state])
+                state = np.take(_LESS, state + first)
             np.take(self.logits[i], state, out=x[i])
             if i >= 1:
                 seen |= (state > 0).view(np.uint8) << np.uint8(i - 1)
@@ -285,18 +287,41 @@ class Mixer:
         return out
 
 
-def learn(mixer: Mixer, history: np.ndarray, rate: float, batch: int = 4096) -> None:
-    """Move the gates' weights along the error of each mixer, a few thousand decisions at a time, in order."""
-    bit, node, seen, x, _ = mixer.inputs(history, less=True)
-    for lo in range(0, len(bit), batch):
-        y = bit[lo:lo + batch]
-        for weights, gate in ((mixer.by_node, node[lo:lo + batch]), (mixer.by_seen, seen[lo:lo + batch]), (mixer.low, node[lo:lo + batch])):
-            width = weights.shape[1]
-            part = x[:width, lo:lo + batch]
-            error = y - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ji->j", part, weights[gate]), -60, 60)))
-            gain = rate / np.sqrt(np.bincount(gate, minlength=len(weights)) + 1)
-            for i in range(width):
-                weights[:, i] += gain * np.bincount(gate, weights=error * part[i], minlength=len(weights))
+GATES = {"by_node": CONTEXTS, "by_seen": CONTEXTS, "low": LOW}  # contexts that each set of weights is for
+
+
+def _gates(node: np.ndarray, seen: np.ndarray) -> tuple[tuple[np.ndarray, tuple[str, ...]], ...]:
+    return (node, ("by_node", "low")), (seen, ("by_seen",))
+
+
+def gate_sums(mixer: Mixer, history: np.ndarray, times: np.ndarray, sums: dict[str, np.ndarray]) -> None:
+    """Add the slope and curvature of the gates' log likelihood over distinct histories, each met ``times`` times, to ``sums``.
+
+    Per gate one row for the slope, then one for each context; each occurrence is judged by the counts of all others.
+    """
+    for lo in range(0, len(history), _SUMMED):
+        bit, node, seen, x, many = mixer.inputs(history[lo:lo + _SUMMED], less=True)
+        weight = np.repeat(times[lo:lo + _SUMMED], many).astype(np.float32)
+        for gate, names in _gates(node, seen):
+            order = np.argsort(gate, kind="stable")
+            own, y, t = np.take(x, order, axis=1), bit[order], weight[order]
+            edge = np.append(0, np.cumsum(np.bincount(gate)))
+            for g in np.flatnonzero(np.diff(edge)):
+                part = slice(edge[g], edge[g + 1])
+                for name in names:
+                    inputs = own[:GATES[name], part]
+                    p = 1 / (1 + np.exp(-np.clip(getattr(mixer, name)[g] @ inputs, -60, 60)))
+                    sums[name][g, 0] += inputs @ (t[part] * (y[part] - p))
+                    sums[name][g, 1:] += (inputs * (t[part] * p * (1 - p))) @ inputs.T
+
+
+def moved(weights: np.ndarray, sums: np.ndarray, prior: float) -> np.ndarray:
+    """One Newton step of the gates' weights, held back as by ``prior`` decisions in favour of what they were.
+
+    Rounded, since sums of floats differ in their last digits by the order of the tasks.
+    """
+    step = np.linalg.solve(sums[:, 1:] + prior * np.eye(weights.shape[1]), sums[:, 0, :, None])[..., 0]
+    return np.round(weights + step, 4).astype(np.float32)
 
 
 def numbered(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

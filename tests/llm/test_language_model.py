@@ -120,6 +120,38 @@ def learned(spark, corpus):
     return mixer
 
 
+def test_gates_learn_from_every_text_however_dealt(spark, corpus, learned):
+    sums = {name: np.zeros((len(getattr(learned, name)), width + 1, width)) for name, width in mixing.GATES.items()}
+    fresh = mixing.Mixer(learned.tables, learned.logits)
+    for text in corpus:  # one by one, each occurrence for itself
+        history = mixing.histories(np.frombuffer(plain(text), np.uint8))[0]
+        mixing.gate_sums(fresh, history, np.ones(len(history), np.int64), sums)
+    for name in mixing.GATES:
+        want = mixing.moved(getattr(fresh, name), sums[name], 1000)
+        assert np.allclose(getattr(learned, name), want, atol=3e-4) and not np.allclose(want, getattr(fresh, name), atol=0.01)
+    others = mixing.Mixer(learned.tables, learned.logits)
+    texts = spark.createDataFrame([(t,) for t in corpus[::-1]], "_t string").repartition(7)
+    learn_gates(texts, others, shared_tables(spark, others), len(corpus), 1000)
+    assert all(np.allclose(getattr(learned, name), getattr(others, name), atol=3e-4) for name in mixing.GATES)
+
+
+def test_gates_follow_slope_and_curvature(learned):
+    rng = np.random.default_rng(2)
+    history = np.unique(rng.integers(0, 1 << 62, 500)).view(np.uint64)
+    times = rng.integers(1, 5, len(history))
+    sums = {name: np.zeros((len(getattr(learned, name)), width + 1, width)) for name, width in mixing.GATES.items()}
+    mixing.gate_sums(learned, history, times, sums)
+    bit, node, seen, x, many = learned.inputs(history, less=True)
+    for name, gate in (("by_node", node), ("by_seen", seen), ("low", node)):
+        own = x[:mixing.GATES[name]].astype(float)
+        p = 1 / (1 + np.exp(-(getattr(learned, name)[gate].T * own).sum(axis=0)))
+        t = np.repeat(times, many)
+        for g in range(len(getattr(learned, name))):
+            at = gate == g
+            assert np.allclose(sums[name][g, 0], (own * (t * (bit - p)))[:, at].sum(axis=1), rtol=1e-3, atol=1e-2)
+            assert np.allclose(sums[name][g, 1:], (own * (t * p * (1 - p)))[:, at] @ own[:, at].T, rtol=1e-3, atol=1e-2)
+
+
 def test_tables_hold_the_counts_of_every_decision(corpus, learned):
     counts = [Counter() for _ in range(CONTEXTS)]
     for text in corpus:
