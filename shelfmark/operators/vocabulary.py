@@ -11,7 +11,8 @@ from shelfmark.session import scratch_path
 
 # Words a vocabulary may have to be ranked in one task and broadcast.
 MAX_VOCABULARY = 100_000
-COUNTERS = 1 << 18  # words a task passes on, at least
+COUNTERS = 1 << 16  # words a task passes on, at least
+BATCH_ROWS = 2000  # rows that Python gets at once; their arrays of words are long
 _PLACE_BITS = 33  # bits for the place in a task in Spark's row numbers
 _SUMMARY = "word string, count long, doc_freq long, missed long"
 
@@ -81,6 +82,7 @@ def most_frequent(df: DataFrame, words: Column, counts: Column | None, size: int
     spark = df.sparkSession
     entries = df.select(words.alias("w"), *([] if counts is None else [counts.alias("n")]))
     path = scratch_path(spark, "words")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     entries.filter("w IS NOT NULL").mapInArrow(_summary(counters or max(COUNTERS, 4 * size)), _SUMMARY).write.parquet(path)
     summaries = spark.read.schema(_SUMMARY).parquet(path)
     totals = summaries.filter("word IS NOT NULL").groupBy("word").agg(F.sum("count").alias("count"), F.sum("doc_freq").alias("doc_freq"))

@@ -195,6 +195,25 @@ def test_tasks_pass_on_no_more_than_their_counters(spark, monkeypatch, tmp_path)
     assert spark.read.parquet(f"{tmp_path}/candidates").count() < 600
 
 
+def test_memory_of_a_summary_does_not_follow_its_rows(spark):
+    import pyarrow as pa
+
+    summary, most = V._summary(V.COUNTERS), 0
+    before = pa.total_allocated_bytes()
+
+    def batches():
+        nonlocal most
+        for i in range(80):
+            words = pa.array([[f"word {i} {row} {j}" for j in range(100)] for row in range(100)])
+            yield pa.RecordBatch.from_arrays([words], ["w"])
+            most = max(most, pa.total_allocated_bytes() - before)
+
+    rows = sum(b.num_rows for b in summary(batches()))
+    assert rows == V.COUNTERS + 1 and most < 10 << 20
+    V.most_frequent(zipf(spark, 50, 2)[1], F.col("w"), None, 5)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(V.BATCH_ROWS)
+
+
 @pytest.mark.parametrize("size", [7, 100, 5000])
 def test_vocabularies_too_large_for_one_task(spark, monkeypatch, size):
     monkeypatch.setattr(V, "MAX_VOCABULARY", 5)
