@@ -7,6 +7,7 @@ ids are kept for the next text. The ids are those of the whole text encoded at o
 * byte-level files: before a space that a non-space follows; the space always goes with what follows.
 * word files (white space dropped): at spaces and line breaks.
 * in both: between a run of Latin letters and an ASCII character that is no letter.
+* byte-level files whose first step makes it a piece of its own: around a line break between two characters that are not white space.
 
 Pieces that start with white space of their own, and letters outside the Latin ranges, stay uncut.
 """
@@ -19,9 +20,15 @@ import struct
 import numpy as np
 import tokenizers
 
+from shelfmark.llm.common import kept
+
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")  # without U+0130, whose lower case holds a mark
 _OTHER_CASE = re.compile("[\u0130\u0250-\U0010ffff]")
 _INNER_SPACE = re.compile(r" (?:\s|\Z)")
+_LINE = re.compile(r"(?:(?<=[!-~])|\A)\n(?=[!-~À-ÖØ-öø-ɏ])")  # of what follows a letter
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: How byte-level files write a byte, by its Latin-1 character: printed ones as they are, the others by characters from 256 on.
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted({*range(256)}.difference(_PRINTED)))}
 _GENERATION = 300_000
 _LONGEST_KEPT = 64
 
@@ -65,17 +72,26 @@ class Encoder:
         self._raw = _Kept(self._whole)
         self._model = self._library.model
         self._core = _Kept(self._letters)
+        self._first = _Kept(lambda word: self._letters(word, ""))
         self._word = _Kept(self._piece)
+        step = self._library.pre_tokenizer
+        self._cuts_lines = not self._drops_space and [p for p, _ in step.pre_tokenize_str("a.\nb")] == ["a", ".", "\u010a", "b"]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        # For ASCII letters (in a word file, lower-case ones) the steps before the model change nothing but the space.
-        if word.isascii() and (not self._drops_space or word.islower()):
-            ids = [t.id for t in self._model.tokenize(self._mark + word)]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self._whole(self._before + word)
+    def _letters(self, word: str, mark: str | None = None) -> bytes:
+        mark = self._mark if mark is None else mark
+        # For ASCII letters (in a word file, lower-case ones) the steps before the model change nothing but the space; byte-level
+        # files write the bytes of others in their alphabet.
+        if not word.isascii() and not self._drops_space:
+            written = word.encode().decode("latin-1").translate(_ALPHABET)
+        elif word.isascii() and (not self._drops_space or word.islower()):
+            written = word
+        else:
+            return self._whole((self._before if mark == self._mark else "") + word)
+        ids = [t.id for t in self._model.tokenize(mark + written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         letters = _LETTERS.match(piece)
@@ -84,9 +100,32 @@ class Encoder:
             if not rest:
                 return self._core[piece]
             if rest[0].isascii():
-                return self._core[letters.group()] + self._raw[rest]
+                return self._core[letters.group()] + self._lines(rest)
         return self._whole(self._before + piece)
 
+    def _lines(self, rest: str) -> bytes:
+        """Ids of what follows a run of letters, cut around its line breaks."""
+        if not self._cuts_lines or "\n" not in rest:
+            return self._raw[rest]
+        head, *lines = _LINE.split(rest)
+        if not lines:
+            return self._raw[rest]
+        out = [self._raw[head]]
+        for line in lines:
+            out += self._raw["\n"], self._line(line)
+        return b"".join(out)
+
+    def _line(self, line: str) -> bytes:
+        """Ids of a piece that no space stands before."""
+        letters = _LETTERS.match(line)
+        if letters:
+            rest = line[letters.end():]
+            if not rest:
+                return self._first[line]
+            if rest[0].isascii():
+                return self._first[letters.group()] + self._raw[rest]
+        return self._raw[line]
+
     def encode(self, text: str) -> bytes:
         if self._special is None:
             return self._ordinary(text)
@@ -119,11 +158,6 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, special: bool = False) -> Encoder:
     """One encoder per file, setting and Python worker, kept from task to task."""
-    if (path, special) not in _ENCODERS:
-        _ENCODERS[path, special] = Encoder(path, special)
-    return _ENCODERS[path, special]
+    return kept((path, special), lambda: Encoder(path, special))

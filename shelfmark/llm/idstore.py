@@ -97,8 +97,8 @@ def write_pages(
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
         for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(value.as_py() or "") + end
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = enc.encode(value or "") + end
                 copy, last = copy + 1 if k == last else 0, k
                 keys.append(k)
                 copies.append(copy)

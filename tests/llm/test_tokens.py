@@ -44,6 +44,19 @@ def test_special_tokens_as_by_the_plain_call(path, rows):
     assert [t for t, w in zip(texts, whole) if enc.encode(t) != w] == []
 
 
+def test_words_after_line_breaks_and_accented_words_are_encoded_by_the_model_alone(monkeypatch):
+    whole, enc, asked = library(BYTE), Encoder(BYTE), []
+    texts = ["café.\nÉté là\nAnd so.\nOn!", "A\nb", "one.\n\nTwo \n three", "x\x1c\ny", "İa.\nÓ."]
+    plain = enc._raw._encode
+    monkeypatch.setattr(enc._raw, "_encode", lambda piece: asked.append(piece) or plain(piece))
+    assert [enc.encode(t) for t in texts] == [whole(t) for t in texts]
+    assert not [p for p in asked if len(p) > 2 and "\n" in p[1:-1] and p[0] in ".!"]
+    asked.clear()
+    monkeypatch.setattr(enc, "_whole", asked.append)
+    enc.encode(" nouveauté déjà\nvécue")
+    assert "".join(asked).strip() == ""
+
+
 def test_queries_take_special_tokens(spark, tmp_path):
     from shelfmark.llm.queries import QUERIES
 
@@ -55,6 +68,15 @@ def test_queries_take_special_tokens(spark, tmp_path):
             assert r.ids_crc32 in (zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(np.array(ids[:-1], "<u4").tobytes()))
 
 
+def test_a_worker_frees_kept_encoders_for_other_work():
+    from shelfmark.llm import common, encoding
+
+    held = encoding.encoder(BYTE)
+    assert encoding.encoder(BYTE) is held
+    common.forget_kept()
+    assert encoding.encoder(BYTE) is not held
+
+
 def check_packing(got, want, capacity):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     by = defaultdict(list)
