@@ -11,8 +11,11 @@ at most ``n - ceil(percent * n / 100)`` of them in the other, which bounds both
   inverted lists of its first shingles only, as many as could be missing in a partner and one more;
   linked sets meet in a list. A list is scanned against the set that stands earliest in it, the
   one that may link with most others. Pairs that pass the bounds on size, position and bitmap are
-  verified on the whole sets. Where a list still holds several components, its members are then
-  scanned against members of other components. Pairs within one component need no check.
+  verified on the whole sets. Where a list still holds several components, pairs of members of different
+  components are left. A list of at most ``DIRECT`` members is paired out. In longer ones each member is
+  taken by how it differs from the list's first set: two sets that link differ in few shingles, and so do their
+  differences, so linked ones meet in an inverted list of the first of these. Near copies of one text that do not link
+  differ from it in shingles of their own and are not paired. Pairs within one component need no check.
 
 The **boundary** is chosen from the sizes of all sets: the one with the least estimated cost, subsets
 of the sets below it plus list entries and checks of those above.
@@ -34,13 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import map_batches, slices, stored, sum_arrays
+from shelfmark.llm.common import forget_kept, map_batches, slices, stored, sum_arrays
 from shelfmark.llm.components import components
 from shelfmark.llm.words import BLANKS, groups_by_size, mix, raw_text, shingles, words
 
 SLOTS = 1 << 22
 FILTER = 1 << 24
 BITS = 1024
+DIRECT = 32  # members of a list that are paired out
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
 
@@ -117,6 +121,7 @@ def set_table(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     """``(key, n, fp1, fp2, bits)`` for each row, and each task's counters as further rows with ``slice``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         counts, kept, held = np.zeros(SLOTS, dtype=np.int64), [], 0
 
         def count():
@@ -153,6 +158,12 @@ def set_table(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     )
 
 
+def first_places(s: np.ndarray, order: np.ndarray, p: int) -> np.ndarray:
+    """The places of the first ``p`` shingles of ``s`` in the global order: rare first by the counters, then by hash."""
+    place = (order[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+    return np.sort(np.partition(place, p - 1)[:p] if p < len(place) else place)
+
+
 def signature_table(docs: DataFrame, text: str, k: int, percent: int, boundary: int, ranks) -> DataFrame:
     """List entries ``(token, pos, n, fp1, fp2)`` of every text.
 
@@ -182,10 +193,7 @@ def signature_table(docs: DataFrame, text: str, k: int, percent: int, boundary:
                 rows.append((token & ~np.uint64(1), size))
             if n >= boundary:
                 p = missing(n, percent) + 1
-                # Rare first by the counters, then by hash.
-                place = (order[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
-                token = np.sort(np.partition(place, p - 1)[:p])
-                rows.append((token | np.uint64(1), np.arange(p)))
+                rows.append((first_places(s, order, p) | np.uint64(1), np.arange(p)))
             for token, pos in rows:
                 m = len(token)
                 held += m
@@ -269,6 +277,52 @@ def _may_link(percent: int, n: Column, m: Column, i: Column, j: Column) -> Colum
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (i + j <= union_room)
 
 
+def pairs_by_difference(members: DataFrame, sets: DataFrame, ranks, percent: int) -> DataFrame:
+    """Pairs ``(a1, a2, b1, b2)`` of members with different labels around one pivot that may link.
+
+    ``members`` has rows ``(p1, p2, fp1, fp2, n, label)``, a pivot and a set, ``sets`` the shingles ``s`` of all of them by ``(fp1, fp2)``.
+    Every member that links with its pivot has the pivot's label. Two linked sets of n and m shingles differ in as
+    many shingles, r at most, as their differences from the pivot do. So the first r + 1 shingles of both differences, in one order, have one in
+    common: otherwise the differences, and the sets, would differ in more, or both would be so small that both sets link with the pivot.
+    """
+
+    def make(batch: pa.RecordBatch):
+        kept = ("p1", "p2", "fp1", "fp2", "n", "label")
+        rows, parts, sizes, held = [], [], [], 0
+
+        def flush():
+            many = [len(x) for x in parts]
+            at = np.repeat(rows, many)
+            return {c: batch.column(c).take(pa.array(at)) for c in kept} | {
+                "x": np.concatenate(parts).view(np.int64), "i": np.concatenate([np.arange(m, dtype=np.int32) for m in many]),
+                "d": np.repeat(np.array(sizes, dtype=np.int32), many)}
+
+        for row, (n, differ) in enumerate(zip(batch.column("n").to_pylist(), batch.column("differ"))):
+            differ = differ.values.to_numpy().view(np.uint64)
+            parts.append(first_places(differ, ranks.value, n * (100 - percent) // percent + 1))
+            rows.append(row)
+            sizes.append(len(differ))
+            held += len(parts[-1])
+            if held > 50_000:
+                yield flush()
+                rows, parts, sizes, held = [], [], [], 0
+        if rows:
+            yield flush()
+
+    pivots = sets.withColumnsRenamed({"fp1": "p1", "fp2": "p2", "s": "p_set"})
+    differ = F.concat(F.array_except("s", "p_set"), F.array_except("p_set", "s"))
+    whole = members.join(sets, ["fp1", "fp2"]).join(pivots, ["p1", "p2"]).select("p1", "p2", "fp1", "fp2", "n", "label", differ.alias("differ"))
+    schema = "p1 long, p2 long, fp1 long, fp2 long, n int, label long, x long, i int, d int"
+    places = stored(map_batches(whole, make, schema), "differences")
+    x, y = places.alias("x"), places.alias("y")
+    n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i")
+    # Before the first shingle that they share nothing is shared, and after it at least as many differ as one has more.
+    apart = i + j + F.abs((F.col("x.d") - i) - (F.col("y.d") - j))
+    together = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("p1", "p2", "x")]
+    return x.join(y, together[0] & together[1] & together[2] & (F.col("x.label") < F.col("y.label")) & _may_link(percent, n, m, apart, F.lit(0))).select(
+        F.col("x.fp1").alias("a1"), F.col("x.fp2").alias("a2"), F.col("y.fp1").alias("b1"), F.col("y.fp2").alias("b2")).distinct()
+
+
 def _near_bits(percent: int) -> Column:
     differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return differ <= F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent))
@@ -331,20 +385,29 @@ def jaccard_components(
                         F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
         return pairs.join(c, [f"{side}1", f"{side}2"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``(a1, a2, b1, b2)`` of nodes that link, as ``(a, b)``."""
-        near = stored(named(named(pairs, "a"), "b").filter(_near_bits(percent)).select("a", "b", "a1", "a2", "b1", "b2"), "near")
-        wanted = near.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2")).union(near.select("b1", "b2")).distinct()
-        wanted = stored(wanted, "wanted")
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``(a1, a2, b1, b2)`` of nodes whose bitmaps allow a link, with the nodes ``(a, b)``."""
+        return stored(named(named(pairs, "a"), "b").filter(_near_bits(percent)).select("a", "b", "a1", "a2", "b1", "b2"), "near")
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a1").alias("fp1"), F.col("a2").alias("fp2")).union(pairs.select("b1", "b2"))
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """``(fp1, fp2, s)``: the whole sets wanted."""
+        wanted = stored(wanted.distinct(), "wanted")
         sets = whole_sets(docs, "_text", k, filter_of(wanted.select("fp1"))).join(wanted, ["fp1", "fp2"], "left_semi")
-        own = stored(sets.groupBy("fp1", "fp2").agg(F.first("shingles").alias("s")), "whole")
-        a = near.join(own.withColumnsRenamed({"fp1": "a1", "fp2": "a2", "s": "a_set"}), ["a1", "a2"])
+        return stored(sets.groupBy("fp1", "fp2").agg(F.first("shingles").alias("s")), "whole")
+
+    def linked(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """Those of the near pairs that link, as ``(a, b)``."""
+        a = pairs.join(own.withColumnsRenamed({"fp1": "a1", "fp2": "a2", "s": "a_set"}), ["a1", "a2"])
         both = a.join(own.withColumnsRenamed({"fp1": "b1", "fp2": "b2", "s": "b_set"}), ["b1", "b2"])
         shared = F.size(F.array_intersect("a_set", "b_set"))
         return both.filter(shared * (100 + percent) >= (F.size("a_set") + F.size("b_set")) * percent).select("a", "b")
 
     small = named(named(by_subset, "a"), "b").select("a", "b")
-    links = stored(verified(by_list).union(small), "links")
+    by_list = near(by_list)
+    links = stored(linked(by_list, sets_for(ends_of(by_list))).union(small), "links")
     labels = stored(components(links), "labels")
 
     # What is left: members of one list that are not yet in one component.
@@ -352,16 +415,22 @@ def jaccard_components(
     listed = live.filter(is_list)
     listed = stored(listed.join(stored(known, "known"), ["fp1", "fp2"]), "listed")
     mixed = stored(
-        listed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"), "mixed"
+        listed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+        .select("token", (F.col("size") > DIRECT).alias("long")), "mixed"
     )
     open_lists = stored(listed.join(mixed, "token").distinct(), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    rest = x.join(
+    x, y = open_lists.filter("NOT long").alias("x"), open_lists.filter("NOT long").alias("y")
+    rest = near(x.join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label"))
         & _may_link(percent, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")),
-    ).select(F.col("x.fp1").alias("a1"), F.col("x.fp2").alias("a2"), F.col("y.fp1").alias("b1"), F.col("y.fp2").alias("b2")).distinct()
-    more = stored(verified(rest), "more")
+    ).select(F.col("x.fp1").alias("a1"), F.col("x.fp2").alias("a2"), F.col("y.fp1").alias("b1"), F.col("y.fp2").alias("b2")).distinct())
+    around = open_lists.filter("long").join(heads.select("token", F.col("h_fp1").alias("p1"), F.col("h_fp2").alias("p2")), "token")
+    members = stored(
+        around.filter("fp1 <> p1 OR fp2 <> p2").select("p1", "p2", "fp1", "fp2", "n", "label").distinct(), "members")
+    whole = sets_for(ends_of(rest).union(members.select("fp1", "fp2")).union(members.select("p1", "p2")))
+    apart = near(pairs_by_difference(members, whole, ranks, percent))
+    more = stored(linked(rest.union(apart), whole), "more")
     # The components so far stand for their links.
     so_far = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = stored(components(so_far.union(more)), "components")

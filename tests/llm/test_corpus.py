@@ -78,6 +78,29 @@ def test_jaccard_components_equal_brute_force(spark, k, percent):
     assert Counter(map(tuple, got.collect())) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_near_copies_that_do_not_link_are_not_paired(spark, monkeypatch, k, percent):
+    """One large group around a text: most members lie too far from each other, some link in twos and threes."""
+    rng, made, joined = np.random.default_rng(4), [], []
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(words, times, name):
+        own = list(words)
+        for i in rng.choice(len(own), times, replace=False):
+            own[i] = f"{name}x{i}"
+        return own
+
+    for g in range(70):
+        made += (first := [changed(base, 7, f"g{g}")])
+        made += [changed(first[0], 1, f"g{g}c{j}") for j in range(int(g % 5 == 0) + int(g % 10 == 0))]
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, *made])]
+    pairs = J.pairs_by_difference
+    monkeypatch.setattr(J, "pairs_by_difference", lambda *a: joined.append(J.stored(pairs(*a), "pairs")) or joined[-1])
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=k, percent=percent).drop("boundary")
+    assert Counter(map(tuple, got.collect())) == brute_components(rows, k, percent)
+    assert joined[0].count() < 5 * len(rows) < len(rows) ** 2 / 4
+
+
 def test_jaccard_edges(spark, edges, edge_rows, empty):
     short = [(r[0], r[1]) for r in edge_rows]
     got = Counter(map(tuple, J.jaccard_components(edges).drop("boundary").collect()))
