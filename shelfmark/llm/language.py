@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import slices, sum_arrays
+from shelfmark.llm.common import forget_kept, slices, sum_arrays
 from shelfmark.llm.words import groups_by_size
 
 FEATURE_BITS = 16
@@ -24,6 +24,7 @@ FEATURES = 1 << FEATURE_BITS
 UNKNOWN = "und"
 MIN_FIT = -0.55  # between other prose of a learned language (about -0.45) and random letters (about -0.6)
 _CHUNK = 1 << 20
+_SCORED = 1 << 18  # letters scored at once: each has a row of the matrix
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
@@ -60,9 +61,9 @@ def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
     return found, letters
 
 
-def _chunks(column: pa.Array):
+def _chunks(column: pa.Array, size: int = _CHUNK):
     texts = ["" if t is None else t for t in column.to_pylist()]
-    for lo, hi in groups_by_size(np.array([len(t) for t in texts], dtype=np.int64), _CHUNK):
+    for lo, hi in groups_by_size(np.array([len(t) for t in texts], dtype=np.int64), size):
         yield lo, hi, texts[lo:hi]
 
 
@@ -84,6 +85,7 @@ def train(docs: DataFrame, text: str, lang: str, smoothing: float = 0.5) -> Lang
     """Model from all rows of ``docs`` with a text and a language; without any, a model without languages."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
@@ -125,12 +127,13 @@ def predict(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
     names, at = [*docs.columns, "lang_pred", "score", "fit"], docs.columns.index(text)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         m = shared.value
         table = np.ascontiguousarray(m.log_probability.T)
         for batch in batches:
             label = np.full(batch.num_rows, UNKNOWN, dtype=object)
             score, fit = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lo, hi, texts in _chunks(batch.column(at)):
+            for lo, hi, texts in _chunks(batch.column(at), _SCORED):
                 found, letters = grams(texts)
                 some = np.flatnonzero(letters > 0)
                 if not len(some) or not m.languages:
