@@ -28,15 +28,16 @@ from shelfmark.llm.words import groups_by_size, raw_text
 KNOWN_WORDS = 1 << 20  # words whose counts are broadcast
 PRIOR = 100.0  # decisions for which the weights that the gates start with stand
 _CHUNK = 1 << 22
+_SCORED = 1 << 21
 _HELD_HISTORIES = 1 << 22
 _HELD_WORDS = 1 << 20
 _BUCKETS = 16  # per power of two of a word's count
 
 
-def _normal_chunks(column: pa.Array):
+def _normal_chunks(column: pa.Array, size: int = _CHUNK):
     """For runs of texts: first row, one after the last, the bytes that stand for them, and their bounds."""
     buf, off = raw_text(column)
-    for lo, hi in groups_by_size(np.diff(off), _CHUNK):
+    for lo, hi in groups_by_size(np.diff(off), size):
         span = off[lo:hi + 1]
         yield lo, hi, *mixing.normal_form(buf[span[0]:span[-1]], span - span[0])
 
@@ -55,9 +56,11 @@ class _Counts:
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > 1:
-            numbers, place = mixing.numbered(np.concatenate([n for n, _ in self.parts]))
-            counts = np.bincount(place, weights=np.concatenate([c for _, c in self.parts])).astype(np.int32)
-            self.parts = [(numbers, counts)]
+            numbers = np.concatenate([n for n, _ in self.parts])
+            order = np.argsort(numbers, kind="stable")  # merges the parts, which are sorted
+            numbers, counts = numbers[order], np.concatenate([c for _, c in self.parts])[order]
+            first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])[:len(numbers)])
+            self.parts = [(numbers[first], np.add.reduceat(counts, first) if len(first) else counts)]
         self.size = sum(len(n) for n, _ in self.parts)
         return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
@@ -217,13 +220,13 @@ def score_rows(rows: DataFrame, mixer: Mixer, shared: Broadcast, known: tuple[np
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = replace(opened(shared), **weights)
+        probabilities = mixing.Probabilities(replace(opened(shared), **weights))
         words, counts = frequent.value
         for batch in batches:
-            for lo, hi, b, off in _normal_chunks(batch.column(text_at)):
+            for lo, hi, b, off in _normal_chunks(batch.column(text_at), _SCORED):
                 texts = hi - lo
                 history, hashes, where = mixing.histories(b)
-                ln = mixing.text_scores(model, history, off)
+                ln = mixing.text_scores(probabilities, history, off)
                 text_of = np.repeat(np.arange(texts), np.diff(np.searchsorted(where, off)))
                 distinct, place = mixing.numbered(hashes)
                 found = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))

@@ -32,6 +32,7 @@ SEGMENT = 128  # bytes of a text after which its weights are refined first; then
 LONGEST = 4096
 _TOGETHER = 1 << 14  # histories mixed at once
 _SUMMED = 1 << 16  # histories whose gates' sums are made at once
+HELD = 1 << 21  # histories whose probabilities a task keeps
 MEMORY = 512.0  # bytes of evidence that the weights of a text begin with
 
 
@@ -366,15 +367,40 @@ def segments(size: int) -> Iterator[tuple[int, int]]:
         start += own
 
 
-def text_scores(mixer: Mixer, history: np.ndarray, off: np.ndarray) -> np.ndarray:
+class Probabilities:
+    """What the mixers give to the bytes of histories, kept for the texts to come; at most ``HELD`` histories and those asked for last."""
+
+    def __init__(self, mixer: Mixer):
+        self.mixer, self.known, self.p = mixer, np.zeros(0, np.uint64), np.zeros((3, 0), np.float32)
+
+    def of(self, distinct: np.ndarray) -> np.ndarray:
+        """Probabilities of distinct histories in ascending order; those not yet known are mixed."""
+        at = np.searchsorted(self.known, distinct)
+        held = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        held[inside] = self.known[at[inside]] == distinct[inside]
+        new = np.flatnonzero(~held)
+        out = np.empty((3, len(distinct)), np.float32)
+        held = np.flatnonzero(held)
+        out[:, held] = self.p[:, at[held]]
+        out[:, new] = np.exp(self.mixer.byte_probabilities(distinct[new]))
+        if len(self.known) + len(new) <= HELD:
+            self.known = np.insert(self.known, at[new], distinct[new])
+            self.p = np.insert(self.p, at[new], out[:, new], axis=1)
+        else:
+            self.known, self.p = distinct, out
+        return out
+
+
+def text_scores(mixer: Mixer | Probabilities, history: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Natural log probability of each text, whose histories stand between the bounds ``off``.
 
-    Distinct histories are mixed once. The texts are then read side by side in segments; a byte's probability is the mean of the
+    Distinct histories are mixed once, with ``Probabilities`` for all texts that it is used for. The texts are then read side by side in segments; a byte's probability is the mean of the
     mixers' by the text's weights, and after each segment a text's weights are the shares that each mixer has had so far.
     """
     texts = len(off) - 1
     distinct, place = numbered(history)
-    p = np.exp(mixer.byte_probabilities(distinct))
+    p = (mixer if isinstance(mixer, Probabilities) else Probabilities(mixer)).of(distinct)
     total, sizes = np.zeros(texts), np.diff(off)
     share = np.tile(np.array([[0.6], [0.2], [0.2]], np.float32) * MEMORY, texts)
     for start, size in segments(int(sizes.max(initial=0))):

@@ -204,6 +204,21 @@ def test_scores_equal_one_by_one(learned, corpus):
     assert np.allclose(got, [one_by_one(learned, plain(t)) for t in texts], rtol=1e-4)
 
 
+def test_histories_are_mixed_once_for_all_texts_of_a_task(monkeypatch):
+    rng = np.random.default_rng(2)
+    m = mixing.Mixer([rng.integers(0, 500, 1 << 10).astype(np.uint16) for _ in mixing.BITS], [rng.normal(size=mixing.STATES).astype(np.float32) for _ in mixing.BITS])
+    texts, asked = [rng.integers(0, 50, 300).astype(np.uint64) << np.uint64(56) for _ in range(4)], []
+    plain = [mixing.text_scores(m, t, np.array([0, 100, 300])) for t in texts]
+    mix = m.byte_probabilities
+    monkeypatch.setattr(m, "byte_probabilities", lambda history: asked.extend(history.tolist()) or mix(history))
+    for held in (1 << 21, 60, 0):
+        monkeypatch.setattr(mixing, "HELD", held)
+        asked.clear()
+        kept = mixing.Probabilities(m)
+        np.testing.assert_array_equal([mixing.text_scores(kept, t, np.array([0, 100, 300])) for t in texts], plain)
+        assert len(asked) == len(set(asked)) or not held
+
+
 def test_probabilities_of_all_bytes_add_up_to_one(learned):
     history = mixing.histories(np.frombuffer(b"the rest\n", np.uint8))[0]
     before = history[7] & np.uint64((1 << 56) - 1)
